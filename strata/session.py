@@ -50,3 +50,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """True if ``df`` holds at most ``rows`` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: a result that is used several
+    times is computed once, and the loss of an executor doesn't reach behind it."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
