@@ -31,26 +31,26 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 P2_SQL = """
 WITH c AS (
   SELECT subject, predicate, lower(trim(regexp_replace(object, '\\s+', ' ', 'g'))) AS value,
-         coalesce(lower(trim(polarity)) <> 'negative', true) AS positive, valid_from AS at, recorded_at AS recorded
+         coalesce(lower(trim(polarity)) <> 'negative', true) AS positive, valid_from AS ts, recorded_at AS recorded
   FROM facts
   WHERE predicate IN ('works_at','favorite_color','favorite_beverage','prefers@editor')
     AND subject IS NOT NULL AND object IS NOT NULL AND valid_from IS NOT NULL),
 w AS (
-  SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY subject, predicate, at ORDER BY recorded DESC NULLS LAST, positive DESC, value DESC) = 1),
+  SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY subject, predicate, ts ORDER BY recorded DESC NULLS LAST, positive DESC, value DESC) = 1),
 p AS (
   SELECT *,
     last_value(CASE WHEN positive THEN value END IGNORE NULLS) OVER k AS prev_value,
-    last_value(CASE WHEN positive THEN at END IGNORE NULLS) OVER k AS prev_at,
-    last_value(CASE WHEN NOT positive THEN at END IGNORE NULLS) OVER kv AS neg_before,
-    first_value(CASE WHEN NOT positive THEN at END IGNORE NULLS) OVER kn AS neg_after
+    last_value(CASE WHEN positive THEN ts END IGNORE NULLS) OVER k AS prev_at,
+    last_value(CASE WHEN NOT positive THEN ts END IGNORE NULLS) OVER kv AS neg_before,
+    first_value(CASE WHEN NOT positive THEN ts END IGNORE NULLS) OVER kn AS neg_after
   FROM w
-  WINDOW k AS (PARTITION BY subject, predicate ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-         kv AS (PARTITION BY subject, predicate, value ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-         kn AS (PARTITION BY subject, predicate, value ORDER BY at ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+  WINDOW k AS (PARTITION BY subject, predicate ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         kv AS (PARTITION BY subject, predicate, value ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         kn AS (PARTITION BY subject, predicate, value ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 s AS (
-  SELECT *, lead(at) OVER (PARTITION BY subject, predicate ORDER BY at) AS next_at
+  SELECT *, lead(ts) OVER (PARTITION BY subject, predicate ORDER BY ts) AS next_at
   FROM p WHERE positive AND (prev_value IS NULL OR prev_value <> value OR coalesce(neg_before > prev_at, false)))
-SELECT subject, predicate, value, epoch_us(at) AS from_us, coalesce(epoch_us(least(next_at, neg_after)), -1) AS until_us
+SELECT subject, predicate, value, epoch_us(ts) AS from_us, coalesce(epoch_us(least(next_at, neg_after)), -1) AS until_us
 FROM s
 """
 
