@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import canonical, conversations, survivors
-from strata.session import read_table
+from strata.functions.plan import spread
+from strata.llm import canonical, conversations, encode, packing, pii, quality, survivors
+from strata.operators import nested
+from strata.session import cut, read_table
 
 #: predicates whose rows state the same thing several times
 REPEATED = ("likes", "has", "learning", "allergic_to")
@@ -38,9 +40,90 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.surviving_records(read_table(spark, sf_dir, "facts").where(F.col("predicate").isin(*REPEATED)))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, rec, text) of the utterances and of the turns in the payloads."""
+    said = read_table(spark, sf_dir, "utterances").select(F.lit("utterances").alias("src"), F.col("id").alias("rec"), "text")
+    turns = nested.turn_rows(nested.session_rows(spread(read_table(spark, sf_dir, "demo_user"))))
+    rec = F.concat_ws("/", *[F.col(c).cast("string") for c in ("record_id", "session_pos", "turn_pos")])
+    return said.unionByName(turns.select(F.lit("demo_user").alias("src"), rec.alias("rec"), "text"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every personal datum by text, kind and number."""
+    return pii.spans(_texts(spark, sf_dir), ["src", "rec"]).select("src", "rec", "kind", "span_no").distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts with placeholders."""
+    return pii.redact(_texts(spark, sf_dir).distinct(), ["src", "rec"])
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode.encode_ids(read_table(spark, sf_dir, "documents"))
+
+
+def p9_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, measured in tokens, in containers of each capacity."""
+    docs = read_table(spark, sf_dir, "documents").withColumn("cluster", F.when(F.length("text") > 0, F.xxhash64("text")).otherwise(0))
+    items = cut(encode.count_tokens(docs, extra=("source", "cluster")).select(F.col("doc_id").alias("item"), F.col("tokens").alias("size"), "source", "cluster"), "sizes")
+    return packing.pack(items, read_table(spark, sf_dir, "token_budgets"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are lists, tables or junk."""
+    return quality.kinds(read_table(spark, sf_dir, "documents"))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics of every document with their tail probabilities and the outlier score."""
+    return quality.scored(cut(quality.statistics(read_table(spark, sf_dir, "documents")), "statistics"))
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records}
+    return {
+        "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p6_found": p6_found, "p6_redacted": p6_redacted,
+        "p8_ids": p8_ids, "p9_bins": p9_bins, "p10_found": p10_found, "p10_scores": p10_scores,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL}
+
+
+_TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+|[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+$', '', 'g')"
+P1_SQL = f"""
+WITH r AS (
+  SELECT session_id, turn_number, id, {_TRIM.format('speaker')} AS sp, {_TRIM.format('text')} AS tx,
+    CASE lower({_TRIM.format("coalesce(speaker, 'user')")}) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' WHEN 'assistant' THEN 'assistant'
+      WHEN 'ai' THEN 'assistant' WHEN 'bot' THEN 'assistant' WHEN 'system' THEN 'system' END AS role
+  FROM turns WHERE session_id IS NOT NULL),
+t AS (
+  SELECT session_id, turn_number, sp, tx, min(id) AS turn_id, min(role) AS role,
+    bool_and(role IS NOT NULL AND coalesce(tx, '') <> '' AND turn_number IS NOT NULL) AS ok
+  FROM r GROUP BY ALL),
+u AS (SELECT *, lead(role) OVER (PARTITION BY session_id ORDER BY turn_number) AS follows FROM t),
+s AS (
+  SELECT session_id, min(turn_number) AS lo FROM u GROUP BY session_id
+  HAVING bool_and(ok) AND count(*) = count(DISTINCT turn_number) AND min(turn_number) IN (0, 1)
+    AND max(turn_number) - min(turn_number) + 1 = count(*) AND bool_or(role = 'user')
+    AND bool_and(role <> 'user' OR coalesce(follows, '') = 'assistant'))
+SELECT session_id, CAST(turn_number - lo AS INTEGER) AS pos, turn_id, role AS speaker_role FROM u JOIN s USING (session_id)
+"""
+P4_SQL = r"""
+WITH f AS (
+  SELECT DISTINCT id, subject, predicate, polarity, confidence, valid_from, source_sessions, evidence,
+    replace(regexp_replace(trim(regexp_replace(lower(strip_accents(object)), '[^\p{L}\p{N}]+', ' ', 'g')), '^(a|an|the)\s+', ''), ' ', '') AS k
+  FROM facts WHERE predicate IN ('likes','has','learning','allergic_to')),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY subject, predicate, polarity, k ORDER BY confidence DESC NULLS LAST,
+      coalesce(len(list_distinct(source_sessions)), 0) DESC, valid_from DESC NULLS LAST, id) AS n
+  FROM f WHERE subject IS NOT NULL AND polarity IS NOT NULL AND k <> ''),
+g AS (
+  SELECT subject, predicate, polarity, k, min(id) AS group_id, arg_min(id, n) AS survivor_id,
+    coalesce(arg_min(id, n) FILTER (trim(evidence) <> ''), '') AS evidence_id, CAST(count(*) AS INTEGER) AS n_members
+  FROM r GROUP BY ALL HAVING count(*) > 1),
+s AS (SELECT subject, predicate, polarity, k, CAST(count(DISTINCT x) AS INTEGER) AS m FROM (SELECT subject, predicate, polarity, k, unnest(source_sessions) AS x FROM r) GROUP BY ALL)
+SELECT group_id, survivor_id, evidence_id, n_members, coalesce(m, 0) AS n_sources
+FROM g LEFT JOIN s USING (subject, predicate, polarity, k)
+"""
