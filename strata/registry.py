@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata import training
+from strata import catalog, training
 
-_PARTS = (training,)
+_PARTS = (training, catalog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["p2_found"](spark, sf_dir)
+    return queries()["answers"](spark, sf_dir)
