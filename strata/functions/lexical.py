@@ -93,11 +93,12 @@ def stems(text: Column) -> Column:
     return F.array_distinct(stem_list(content_tokens(text)))
 
 
-def overlap(query_tokens: Column, text_stems: Column, weights: Column | None = None) -> Column:
+def overlap(query_tokens: Column, text_stems: Column, weights: Column | None = None, query_stems: Column | None = None) -> Column:
     """Share of the query's tokens (repeats count) whose stem the text has; with weights their share of
-    the weight, an unknown token weighing 1. An empty query has no overlap."""
+    the weight, an unknown token weighing 1. An empty query has no overlap. ``query_stems`` may hold the
+    tokens' stems where a query meets many texts."""
     weight = lambda t: F.coalesce(F.try_element_at(weights, t), F.lit(1.0)) if weights is not None else F.lit(1.0)
-    pairs = F.zip_with(query_tokens, stem_list(query_tokens), lambda t, s: F.struct(weight(t).alias("w"), F.array_contains(text_stems, s).alias("hit")))
+    pairs = F.zip_with(query_tokens, query_stems if query_stems is not None else stem_list(query_tokens), lambda t, s: F.struct(weight(t).alias("w"), F.array_contains(text_stems, s).alias("hit")))
     zero = F.struct(F.lit(0.0).alias("got"), F.lit(0.0).alias("all"))
     add = lambda a, p: F.struct((a["got"] + F.when(p["hit"], p["w"]).otherwise(0.0)).alias("got"), (a["all"] + p["w"]).alias("all"))
     return F.aggregate(pairs, zero, add, lambda a: F.coalesce(F.try_divide(a["got"], a["all"]), F.lit(0.0)))

@@ -51,12 +51,13 @@ def analyse(questions: DataFrame, memory: Memory, rated: DataFrame | None = None
     own = questions.where(F.col("question").rlike(r"(?i)\b(?:i|me|my|mine|myself)\b")).select("query_id", F.lit("user").alias("n"))
     words = q.select("query_id", F.explode("tokens").alias("n"))
     names = named.unionByName(own).unionByName(words).distinct()
+    q = q.withColumn("q_stems", lexical.stem_list(F.col("tokens")))
     return q.join(per, "query_id", "left").join(names.groupBy("query_id").agg(F.collect_set("n").alias("names")), "query_id", "left")
 
 
 def _overlap(stems: str) -> Column:
     """Overlap of the question with a column of stems; without weights every token weighs 1."""
-    return lexical.overlap(F.col("tokens"), F.col(stems), F.coalesce("weights", F.create_map().cast("map<string,double>")))
+    return lexical.overlap(F.col("tokens"), F.col(stems), F.coalesce("weights", F.create_map().cast("map<string,double>")), F.col("q_stems"))
 
 
 def fact_evidence(q: DataFrame, memory: Memory) -> DataFrame:
@@ -75,7 +76,7 @@ def fact_evidence(q: DataFrame, memory: Memory) -> DataFrame:
     j = j.where(F.coalesce("is_current", F.lit(False)) | keep_old)
     current = F.coalesce("is_current", F.lit(False))
     text = lexical.rendered_fact(F.col("subject"), F.col("predicate"), F.col("object"), F.col("qualifier"), F.col("polarity") == "negative", ~current)
-    kept = ["query_id", "id", "subject", "predicate", "object", "confidence", "history", "tokens", "weights"]
+    kept = ["query_id", "id", "subject", "predicate", "object", "confidence", "history", "tokens", "q_stems", "weights"]
     # in steps: texts, their stems, overlaps; each is evaluated once
     j = j.select(*kept, current.alias("is_current"), "qualifier", "evidence", F.col("valid_from").alias("at"), F.get("source_sessions", F.lit(0)).alias("session_id"), text.alias("text"))
     j = j.select(
@@ -100,7 +101,7 @@ def said_evidence(q: DataFrame, memory: Memory, depth_limit: Column) -> DataFram
     fallback = bare.join(F.broadcast(newest), F.lit(True)).select("query_id", F.explode("ids").alias("id"))
     cand = by_text.unionByName(fallback).distinct()
     j = cand.join(u.select("id", "text", "timestamp", "session_id", "speaker"), "id").join(q, "query_id")
-    j = j.select("query_id", "id", "text", "timestamp", "session_id", "tokens", "weights", depth_limit.alias("lim"), lexical.stems(F.col("text")).alias("s1"))
+    j = j.select("query_id", "id", "text", "timestamp", "session_id", "tokens", "q_stems", "weights", depth_limit.alias("lim"), lexical.stems(F.col("text")).alias("s1"))
     j = j.select("query_id", "id", "text", "timestamp", "session_id", "lim", _overlap("s1").alias("lexical"))
     s = j.select("query_id", F.lit("utterance").alias("kind"), "id", "text", F.bround(F.col("lexical") + 0.05, 6).alias("score"), "lexical", F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("predicate"), F.lit(None).cast("string").alias("object"), F.lit(None).cast("boolean").alias("is_current"), F.col("timestamp").alias("at"), "session_id", "lim", F.count(F.lit(1)).over(Window.partitionBy("query_id")).alias("n"))
     s = s.where((F.col("lexical") > 0) | (F.col("n") <= F.col("lim")))
