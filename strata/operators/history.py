@@ -40,7 +40,7 @@ def raw_changes(df: DataFrame, predicates: Sequence[str] | None = None) -> DataF
         F.coalesce(F.lower(F.trim("polarity")) != "negative", F.lit(True)).alias("positive"),
         F.col("valid_from").alias("at"),
         F.col("recorded_at").alias("recorded"),
-    ).where("subject is not null and predicate is not null and value is not null and at is not null")
+    )
 
 
 def _block(c: Column, unit: str) -> Column:
@@ -56,7 +56,7 @@ def build_chains(raw: DataFrame, block_unit: str = "month") -> DataFrame:
     """
     key = ["subject", "predicate"]
     rows = (
-        raw.groupBy(*key, "at")
+        raw.where("subject is not null and predicate is not null and value is not null and at is not null").groupBy(*key, "at")
         .agg(F.max(F.struct("recorded", "positive", "value")).alias("w"))
         .select(*key, "at", F.col("w.value").alias("value"), F.col("w.positive").alias("positive"), _block(F.col("at"), block_unit).alias("block"))
     )

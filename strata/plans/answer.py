@@ -184,7 +184,7 @@ def context(evidence: DataFrame, sessions: DataFrame, max_tokens: int = 4000, ex
 
 def compose(q: DataFrame, kept: DataFrame, decisions: DataFrame, memory: Memory) -> DataFrame:
     """(query_id, answer, citations): the refusal, what held before, the best excerpt or the current fact with its siblings."""
-    order = F.struct((-F.col("score")).alias("s"), "id", "text", "subject", "predicate", "object", "kind", "session_id")
+    order = F.struct((-F.col("score")).alias("s"), "id", "text", "subject", "predicate", "object", "kind", "session_id", "is_current")
     top = kept.groupBy("query_id").agg(F.min(F.when(F.col("kind") == "fact", order)).alias("fact"), F.min(F.when(F.col("kind") != "fact", order)).alias("said"), F.slice(F.array_sort(F.collect_set("session_id")), 1, 3).alias("citations"))
     same = kept.where("kind = 'fact' and is_current").join(top.select("query_id", "fact.subject", "fact.predicate"), ["query_id", "subject", "predicate"]).groupBy("query_id").agg(lexical.joined(F.slice(F.array_sort(F.collect_set("object")), 1, 4)).alias("objects"))
     prior = fact_ops.supersession(memory.facts, memory.supersedes.withColumn("type", F.lit("SUPERSEDES"))).select(F.col("id").alias("fact_id"), "supersedes")
@@ -195,6 +195,7 @@ def compose(q: DataFrame, kept: DataFrame, decisions: DataFrame, memory: Memory)
     text = (
         F.when(F.col("abstained"), REFUSAL)
         .when(F.col("history") & (F.coalesce(F.size("supersedes"), F.lit(0)) > 0), F.concat(F.lit("Before that: "), was, F.lit(".")))
+        .when(F.col("history") & F.col("fact").isNotNull() & ~F.coalesce(F.col("fact.is_current"), F.lit(True)), F.concat(F.lit("Before that: "), F.col("fact.object"), F.lit(".")))
         .when(by_said, F.concat(F.lit('You said: "'), lexical.truncate(F.col("said.text"), 300), F.lit('"')))
         .when(F.col("fact").isNotNull(), F.concat(stated, F.lit(".")))
         .otherwise(REFUSAL)
