@@ -70,8 +70,9 @@ def readings(values: DataFrame) -> DataFrame:
     """(category, value, reading, cost): the ways a distinct value may be meant, cheapest first."""
     v = F.col("value")
     head = F.regexp_replace(v, r"(?i)[,;/|(\[].*$|\s+[@–—]\s.*$|\sat\s.*$", "")
-    tail = F.regexp_extract(v, r"^([^,]*),\s*([^,]+)$", 2)
-    swapped = F.when(tail != "", F.concat_ws(" ", tail, F.regexp_extract(v, r"^([^,]*),\s*([^,]+)$", 1)))
+    bare = F.regexp_replace(v, r"\s*[(\[][^)\]]*[)\]]", "")
+    tail = F.regexp_extract(bare, r"^([^,]*),\s*([^,]+)$", 2)
+    swapped = F.when(tail != "", F.concat_ws(" ", tail, F.regexp_extract(bare, r"^([^,]*),\s*([^,]+)$", 1)))
     # in steps, so that every expression is evaluated once and stays within a compiled method
     forms = values.select("category", "value", _plain(v).alias("w0"), _plain(head).alias("w1"), _plain(swapped).alias("w2"))
     forms = forms.select("category", "value", "w0", "w1", "w2", _strip(F.col("w0")).alias("w3"), _strip(F.col("w1")).alias("w4"))

@@ -113,5 +113,5 @@ def surviving_records(facts: DataFrame) -> DataFrame:
     one = facts.groupBy("id").agg(F.min(F.struct("object", "confidence", "valid_from", "evidence")).alias("r"))
     mine = one.select(F.col("id").alias("survivor_id"), F.col("r.object").alias("object"), F.col("r.confidence").alias("confidence"), F.col("r.valid_from").alias("valid_from"))
     said = one.select(F.col("id").alias("evidence_id"), F.col("r.evidence").alias("evidence"))
-    value = latest_values(facts.where(visible(F.col("qualifier"))), "qualifier").withColumnRenamed("value", "qualifier")
+    value = latest_values(facts.withColumn("qualifier", F.when(visible(F.col("qualifier")), F.col("qualifier"))), "qualifier").withColumnRenamed("value", "qualifier")
     return core.join(mine, "survivor_id", "left").join(said, "evidence_id", "left").join(value, "group_id", "left")
