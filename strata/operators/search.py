@@ -31,17 +31,18 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "id", text: str = "text
     """(query_id, key, score), best ``limit`` per query; queries: query_id, terms array<string>.
 
     idf is ln((N-n+.5)/(n+.5)), at least 1e-6; ties go to the smaller key. Only the
-    terms asked for are counted: they are joined (broadcast when few) to the
-    postings before anything is grouped.
+    terms asked for are counted: they are joined (broadcast when few) to the words
+    before anything is grouped, and the text lengths travel with them.
     """
-    terms, sizes = postings(docs, key, text)
+    words = docs.select(key, lexical.word_list(F.col(text)).alias("w"))
+    sizes = words.select(key, F.size("w").alias("length"))
     asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     wanted = _hint(asked.select("term").distinct())
-    hit = terms.join(wanted, "term")
+    hit = words.select(key, F.size("w").alias("length"), F.explode("w").alias("term")).join(wanted, "term").groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("tf"))
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     total = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
     idf = df.join(F.broadcast(total), F.lit(True)).select("term", "mean", F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6)).alias("idf"))
-    part = hit.join(idf, "term").join(sizes, key)
+    part = hit.join(idf, "term")
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scored = part.select("term", key, weight.alias("s")).join(asked, "term").groupBy("query_id", key).agg(F.sum("s").alias("score"))
     return top_k(scored, ["query_id"], [F.round("score", 6).desc(), F.col(key).asc()], limit)
