@@ -11,8 +11,9 @@ and never collected.
 
 Where timestamps are missing, *currency reasoning* decides which value of a field
 is the latest: from timestamped rows it learns how often one value gives way to
-another, keeps the precedences that are not contradicted, and takes the value of
-a group that no other value of the group supersedes.
+another, keeps the precedences that are not contradicted with all that follows
+from them, and takes the newest timestamped value of a group unless values
+without a timestamp come after it in that order.
 
 Defined cases: repeated rows count once; null confidence and valid_from rank
 last; null or repeated sources don't count; a null subject, predicate, polarity
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.text import loose_key, visible
+from strata.session import cut
 
 KEY = ("subject", "predicate", "polarity", "key")
 
@@ -90,20 +92,31 @@ def precedence(trans: DataFrame, least: int = 3, share: float = 0.6) -> DataFram
     return joined.where((F.col("n") >= least) & (F.col("n") >= share * (F.col("n") + F.col("m")))).select("earlier", "later")
 
 
+def closed(edges: DataFrame) -> DataFrame:
+    """(earlier, later) for every pair joined by a path of edges, paths doubling in length each round;
+    values that precede each other (a cycle) contradict themselves and are left unordered."""
+    reach, n = cut(edges.distinct(), "precedence"), -1
+    while n != (n := reach.count()):
+        longer = reach.select("earlier", F.col("later").alias("mid")).join(reach.select(F.col("earlier").alias("mid"), "later"), "mid").select("earlier", "later")
+        reach = cut(reach.unionByName(longer).distinct(), "precedence")
+    return reach.join(reach.select(F.col("later").alias("earlier"), F.col("earlier").alias("later")), ["earlier", "later"], "left_anti")
+
+
 def latest_values(facts: DataFrame, field: str, least: int = 3, share: float = 0.6) -> DataFrame:
     """(group_id, value) of ``field`` per group: the newest timestamped value, unless values without
-    a timestamp follow it in the learned order; among several tops the one with the most rows, then the smallest."""
-    order = precedence(transitions(facts, field), least, share)
+    a timestamp follow it in the learned order, which is transitive; then, or if no row has a timestamp,
+    what no other such value follows: among several tops the one with the most rows, then the smallest."""
+    order = closed(precedence(transitions(facts, field), least, share))
     rows = keyed(facts).where(F.col(field).isNotNull()).select(*KEY, "id", "valid_from", F.col(field).cast("string").alias("v"))
     groups = keyed(facts).groupBy(*KEY).agg(F.min("id").alias("group_id"), F.countDistinct("id").alias("n")).where("n > 1").drop("n")
-    newest = rows.where("valid_from is not null").groupBy(*KEY).agg(F.max(F.struct("valid_from", "id", "v")).getField("v").alias("v"))
-    undated = rows.where("valid_from is null").groupBy(*KEY, "v").agg(F.countDistinct("id").alias("rows"))
-    cand = undated.unionByName(newest.withColumn("rows", F.lit(0))).groupBy(*KEY, "v").agg(F.max("rows").alias("rows"))
-    other = cand.select(*KEY, F.col("v").alias("later"))
-    beaten = cand.join(other, list(KEY)).where("v <> later").join(order.withColumnRenamed("earlier", "v"), ["v", "later"], "left_semi").select(*KEY, "v").distinct()
-    tops = cand.join(beaten, [*KEY, "v"], "left_anti")
-    # a cycle leaves no top: then the candidates themselves count, the dated one first
-    best = tops.select("*", F.lit(0).alias("worse")).unionByName(cand.select("*", F.lit(1).alias("worse"))).groupBy(*KEY).agg(F.min(F.struct("worse", (-F.col("rows")).alias("r"), "v")).getField("v").alias("value"))
+    newest = rows.where("valid_from is not null").groupBy(*KEY).agg(F.max(F.struct("valid_from", "id", "v")).getField("v").alias("dated"))
+    undated = rows.where("valid_from is null").groupBy(*KEY, "v").agg(F.countDistinct("id").alias("rows")).join(newest, list(KEY), "left")
+    follows = undated.where("dated is not null").join(order.select(F.col("earlier").alias("dated"), F.col("later").alias("v")), ["dated", "v"], "left_semi")
+    cand = undated.where("dated is null").unionByName(follows).select(*KEY, "v", "rows")
+    beaten = cand.join(cand.select(*KEY, F.col("v").alias("later")), list(KEY)).join(order.withColumnRenamed("earlier", "v"), ["v", "later"], "left_semi").select(*KEY, "v").distinct()
+    # the order has no cycles, so candidates always leave a top
+    tops = cand.join(beaten, [*KEY, "v"], "left_anti").groupBy(*KEY).agg(F.min(F.struct((-F.col("rows")).alias("r"), "v")).getField("v").alias("top"))
+    best = newest.join(tops, list(KEY), "full").select(*KEY, F.coalesce("top", "dated").alias("value"))
     return groups.join(best, list(KEY)).select("group_id", "value")
 
 

@@ -113,6 +113,22 @@ def test_currency_from_learned_order(spark):
     assert got["p"] == "senior"
 
 
+def test_newest_dated_value_yields_only_to_the_learned_order(spark):
+    def fact(i, s, at, v):
+        return (i, s, "has", "positive", "job", 0.5, None, at, None, v, "")
+
+    day = lambda n: datetime(2025, 1, n)
+    steps = (("a", "b"), ("b", "c"), ("x", "y"), ("y", "z"), ("z", "x"))
+    seen = [fact(f"{v}{w}{i}{n}", f"{v}{w}{i}", day(1 + 5 * n), q) for v, w in steps for i in range(3) for n, q in enumerate((v, w))]
+    groups = {
+        "unordered": (day(1), "b", "m", "m", "b"), "earlier": (day(1), "c", "a", "a", "c"), "far": (day(1), "a", "c", "m", "c"),
+        "cycle": (day(1), "x", "y", "z", "x"), "undated": (None, "a", "c", "a", "c"), "only": (day(1), "b", None, None, "b"),
+    }
+    rows = [fact(f"{g}{i}", g, at if i == 0 else None, q) for g, (at, *qs, _) in groups.items() for i, q in enumerate(qs)]
+    got = {r.group_id: r.value for r in survivors.latest_values(spark.createDataFrame(seen + rows, FACT), "qualifier").collect()}
+    assert {g: got[f"{g}0"] for g in groups} == {g: want for g, (*_, want) in groups.items()}
+
+
 # ---- personal data -------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     "text,kinds",
