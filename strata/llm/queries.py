@@ -40,6 +40,11 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.surviving_records(read_table(spark, sf_dir, "facts").where(F.col("predicate").isin(*REPEATED)))
 
 
+def p4_gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct source_sessions and evidence of every group, one row each."""
+    return survivors.gathered(read_table(spark, sf_dir, "facts").where(F.col("predicate").isin(*REPEATED)))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, rec, text) of the utterances and of the turns in the payloads."""
     said = read_table(spark, sf_dir, "utterances").select(F.lit("utterances").alias("src"), F.col("id").alias("rec"), "text")
@@ -82,7 +87,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p6_found": p6_found, "p6_redacted": p6_redacted,
+        "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p4_gathered": p4_gathered, "p6_found": p6_found, "p6_redacted": p6_redacted,
         "p8_ids": p8_ids, "p9_bins": p9_bins, "p10_found": p10_found, "p10_scores": p10_scores,
     }
 

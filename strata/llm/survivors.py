@@ -30,6 +30,8 @@ from strata.functions.text import loose_key, visible
 from strata.session import cut
 
 KEY = ("subject", "predicate", "polarity", "key")
+#: fields of the built record that come from the best-ranked member that has one
+FIELDS = ("object", "confidence", "valid_from")
 
 
 def keyed(facts: DataFrame) -> DataFrame:
@@ -121,10 +123,21 @@ def latest_values(facts: DataFrame, field: str, least: int = 3, share: float = 0
 
 
 def surviving_records(facts: DataFrame) -> DataFrame:
-    """The built record of each group: survivor's fields, best evidence, latest qualifier, gathered sources count."""
+    """The built record of each group: each field from the best-ranked member that has it, latest qualifier, gathered sources count."""
     core = survivors(facts)
-    one = facts.groupBy("id").agg(F.min(F.struct("object", "confidence", "valid_from", "evidence")).alias("r"))
-    mine = one.select(F.col("id").alias("survivor_id"), F.col("r.object").alias("object"), F.col("r.confidence").alias("confidence"), F.col("r.valid_from").alias("valid_from"))
-    said = one.select(F.col("id").alias("evidence_id"), F.col("r.evidence").alias("evidence"))
+    rows = keyed(facts).select(*KEY, "id", rank_struct().alias("rank"), *FIELDS, F.when(visible(F.col("evidence")), F.col("evidence")).alias("evidence"))
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("rank", c))).getField(c).alias(c)
+    built = rows.groupBy(*KEY).agg(F.min("id").alias("group_id"), *[first(c) for c in (*FIELDS, "evidence")]).drop(*KEY)
     value = latest_values(facts.withColumn("qualifier", F.when(visible(F.col("qualifier")), F.col("qualifier"))), "qualifier").withColumnRenamed("value", "qualifier")
-    return core.join(mine, "survivor_id", "left").join(said, "evidence_id", "left").join(value, "group_id", "left")
+    records = core.join(built, "group_id", "left").join(value, "group_id", "left")
+    return records.select("group_id", "evidence_id", "survivor_id", "n_members", "n_sources", *FIELDS, "evidence", "qualifier")
+
+
+def gathered(facts: DataFrame) -> DataFrame:
+    """(group_id, field, value) of all distinct source_sessions and evidence of each group: a child
+    table of the records, so that a hot group is never collected into one row."""
+    rows = keyed(facts)
+    groups = rows.groupBy(*KEY).agg(F.min("id").alias("group_id"), F.max("id").alias("last")).where("group_id <> last").drop("last")
+    sources = rows.select(*KEY, F.lit("source_sessions").alias("field"), F.explode("source_sessions").alias("value")).where("value is not null")
+    said = rows.where(visible(F.col("evidence"))).select(*KEY, F.lit("evidence").alias("field"), F.col("evidence").alias("value"))
+    return sources.unionByName(said).distinct().join(groups, list(KEY)).select("group_id", "field", "value")

@@ -106,6 +106,19 @@ def test_survivors(spark):
     assert survivors.survivors(df.limit(0)).count() == 0
 
 
+def test_records_gather_the_group(spark):
+    rows = [
+        ("a", "u", "likes", "positive", "tea", 0.9, ["s1", "s2", "s2", None], None, " ", None, ""), ("b", "u", "likes", "positive", "Tea", 0.8, ["s2", "s3"], T0, "second", None, ""), ("b", "u", "likes", "positive", "Tea", 0.8, ["s2", "s3"], T0, "second", None, ""),
+        ("c", "u", "likes", "positive", "TEA", None, None, datetime(2026, 1, 1), "third", None, ""), ("d", "u", "likes", "positive", "rye", 0.9, ["s9"], T0, "alone", None, ""), ("d", "u", "likes", "positive", "rye", 0.9, ["s9"], T0, "alone", None, ""),
+    ]
+    df = spark.createDataFrame(rows, FACT)
+    got = sorted(tuple(r) for r in survivors.gathered(df).collect())
+    assert got == [("a", "evidence", "second"), ("a", "evidence", "third"), *(("a", "source_sessions", s) for s in ("s1", "s2", "s3"))]
+    (r,) = survivors.surviving_records(df).collect()
+    assert (r.survivor_id, r.object, r.confidence, r.valid_from, r.evidence_id, r.evidence, r.n_sources) == ("a", "tea", 0.9, T0, "b", "second", 3)
+    assert survivors.gathered(df.limit(0)).count() == 0
+
+
 def test_currency_from_learned_order(spark):
     seen = [(f"x{i}{v}", f"u{i}", "has", "positive", "job", 0.5, None, datetime(2025, 1, 1 + 5 * n), None, v, "") for i in range(6) for n, v in enumerate(("junior", "senior"))]
     group = [("p", "z", "has", "positive", "rank", 0.5, None, None, None, "junior", ""), ("q", "z", "has", "positive", "rank", 0.5, None, None, None, "senior", ""), ("r", "z", "has", "positive", "rank", 0.5, None, None, None, "junior", "")]
