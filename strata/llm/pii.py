@@ -1,9 +1,10 @@
 """Personal data in free text: found by anchors, bounded by local parsers, replaced by placeholders.
 
 One Aho-Corasick pass over the folded text finds anchors: at-signs and their
-disguises, digits, identifier cues, street words, titles and given names. Only
-around an anchor does a deterministic parser of that kind run; it expands to both
-sides, checks what it has found and gives a span or nothing. Kinds are settled in
+disguises, digits, identifier cues, street words, titles and given names. The
+words are those the parsers are made of. From the places of its anchors alone
+does a deterministic parser of that kind start; it expands to both sides, checks
+what it has found and gives a span or nothing. Kinds are settled in
 the order email, id_number, phone, address, person, so that a name inside a
 mailbox or a street is none and a part number is no phone.
 
@@ -14,6 +15,7 @@ pass; other columns are kept out of the way by naming the outputs here.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -49,7 +51,18 @@ well went were what when where which while who why will wins with works would wr
 """.split())
 _TLD = "com|org|net|edu|gov|int|info|biz|name|example|test|invalid|localhost|local|io|co|ai|app|dev|me|tv|cc|eu|uk|us|de|fr|es|it|nl|be|ch|at|se|no|dk|fi|pl|pt|cz|gr|ie|ru|tr|in|jp|cn|kr|br|mx|ca|au|nz|za"
 
-_STREET = r"(?:street|st|road|rd|avenue|ave|lane|ln|court|ct|drive|dr|way|close|place|pl|square|sq|terrace|crescent|boulevard|blvd|row|gardens|mews|grove|parade|walk|hill|alley|quay|circle|parkway|pkwy|highway|hwy)"
+# street words of parsers and anchors alike: after a number and a name, after a number, ending or following a name, before a name
+_STREETS_EN = "street st road rd avenue ave lane ln court ct drive dr way close place pl square sq terrace crescent boulevard blvd row gardens mews grove parade walk hill alley quay circle parkway pkwy highway hwy".split()
+_STREETS_FR = "rue avenue boulevard place chemin allée impasse quai route cours".split()
+_STREETS_DE = "straße strasse str. weg gasse platz allee ring damm ufer steig chaussee".split()
+_STREETS_ES = {"calle": "", "avenida": "", "avda": r"\.?", "plaza": "", "paseo": "", "camino": "", "carrera": "", "c/": ""}
+_STREET = rf"(?:{'|'.join(_STREETS_EN)})"
+#: identifier cues: how each begins (an anchor) and how it goes on
+_CUES = (
+    ("ssn", ""), ("social", r"\s+security(?:\s+(?:number|no\.?|#))?"), ("s.s.n.", ""), ("ni", r"\s+(?:number|no\.?)"), ("nino", ""), ("national", r"\s+insurance(?:\s+(?:number|no\.?))?"), ("dni", ""), ("nie", ""), ("nif", ""), ("curp", ""),
+    ("personalausweis", r"(?:nummer|[\s\-]?nr\.?)?"), ("ausweis", r"(?:nummer|[\s\-]?nr\.?)"), ("passport", r"(?:\s+(?:number|no\.?|#))?"), ("reisepass", r"(?:nummer|[\s\-]?nr\.?)?"), ("national", r"\s+id(?:entity)?(?:\s+(?:card|number|no\.?))*"), ("identity", r"\s+(?:card|number)(?:\s+(?:number|no\.?))?"),
+    ("id", r"\s+card(?:\s+(?:number|no\.?))?"), ("tax", r"\s+(?:id|number)"), ("steuer", "-?id"), ("driver", r"'?s?\s+licen[cs]e(?:\s+(?:number|no\.?))?"), ("aadhaar", r"(?:\s+number)?"), ("numéro", r"\s+de\s+sécurité\s+sociale"), ("cédula", ""),
+)
 _STOP = r"(?:the|in|of|on|at|to|and|or|for|from|with|by|a|an|is|was|were|it|its|that|this|minutes?|hours?|days?|weeks?|months?|years?|percent|rows?|turns?|sessions?|songs?|open|times?|more|other)"
 _UNIT = r"(?:,?\s*(?:flat|apt\.?|apartment|unit|suite|ste\.?|no\.?|floor|#)\s*[\p{L}\d]+|,\s*\d{1,2}\s*[ºª°]\s*\p{L}?\b)?"
 
@@ -67,12 +80,14 @@ def _patterns() -> dict:
     after_code = r"(?<=\d{4})\s+(?-i:(?:(?:Port|New|Upper|Saint|San|Lower|Bad)\s+)?\p{Lu}[\p{L}'’\-]{3,})"
     place = rf"(?:,?\s+\d{{4,5}}\b)?(?:{after_comma}|{after_code})?"
     street_en = rf"\d{{1,5}}\s?[a-z]?\b,?\s+(?:[nsew]\.?\s+|(?:north|south|east|west)\s+)?(?:(?!{_STOP}\b)\p{{L}}[\p{{L}}'’\-]*\s+){{1,3}}{_STREET}\b\.?"
-    street_fr = r"\d{1,4}\s?[a-z]?\b(?:\s+(?:bis|ter|quater))?,?\s+(?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|route|cours)\s+(?:de\s+la\s+|des\s+|du\s+|de\s+l['’]|de\s+|d['’])?\p{L}[\p{L}'’\-]*(?:\s+\p{Lu}[\p{L}'’\-]*)*"
-    street_de = r"\p{Lu}[\p{L}\-]*(?:straße|strasse|str\.|weg|gasse|platz|allee|ring|damm|ufer|steig|chaussee)\s+\d{1,4}\s?[a-z]?\b|\p{Lu}[\p{L}\-]+(?:er)?\s(?:Straße|Strasse|Weg|Platz|Allee|Ring|Gasse)\s+\d{1,4}\s?[a-z]?\b"
-    street_es = r"(?:calle|avenida|avda\.?|plaza|paseo|camino|carrera|c/)\s+(?:de\s+(?:la\s+|los\s+|las\s+)?|del\s+)?\p{L}[\p{L}'’\-]*(?:\s+\p{L}[\p{L}'’\-]*){0,3}?,?\s+(?:n[º°.]?\s*)?\d{1,4}\s?[a-z]?\b"
-    cue = r"(?:ssn|social\s+security(?:\s+(?:number|no\.?|#))?|s\.s\.n\.|ni\s+(?:number|no\.?)|nino|national\s+insurance(?:\s+(?:number|no\.?))?|dni|nie|nif|curp|personalausweis(?:nummer|[\s\-]?nr\.?)?|ausweis(?:nummer|[\s\-]?nr\.?)|passport(?:\s+(?:number|no\.?|#))?|reisepass(?:nummer|[\s\-]?nr\.?)?|national\s+id(?:entity)?(?:\s+(?:card|number|no\.?))*|identity\s+(?:card|number)(?:\s+(?:number|no\.?))?|id\s+card(?:\s+(?:number|no\.?))?|tax\s+(?:id|number)|steuer-?id|driver'?s?\s+licen[cs]e(?:\s+(?:number|no\.?))?|aadhaar(?:\s+number)?|numéro\s+de\s+sécurité\s+sociale|cédula)"
+    street_fr = rf"\d{{1,4}}\s?[a-z]?\b(?:\s+(?:bis|ter|quater))?,?\s+(?:{'|'.join(_STREETS_FR)})\s+(?:de\s+la\s+|des\s+|du\s+|de\s+l['’]|de\s+|d['’])?\p{{L}}[\p{{L}}'’\-]*(?:\s+\p{{Lu}}[\p{{L}}'’\-]*)*"
+    street_de = rf"\p{{Lu}}[\p{{L}}\-]*(?:{'|'.join(map(re.escape, _STREETS_DE))})\s+\d{{1,4}}\s?[a-z]?\b|\p{{Lu}}[\p{{L}}\-]+(?:er)?\s(?:Straße|Strasse|Weg|Platz|Allee|Ring|Gasse)\s+\d{{1,4}}\s?[a-z]?\b"
+    street_es = rf"(?:{'|'.join(w + tail for w, tail in _STREETS_ES.items())})\s+(?:de\s+(?:la\s+|los\s+|las\s+)?|del\s+)?\p{{L}}[\p{{L}}'’\-]*(?:\s+\p{{L}}[\p{{L}}'’\-]*){{0,3}}?,?\s+(?:n[º°.]?\s*)?\d{{1,4}}\s?[a-z]?\b"
+    cue = rf"(?:{'|'.join(re.escape(head) + tail for head, tail in _CUES)})"
     return {
         "email": re.compile(rf"(?:mailto:)?(?P<local>{atom}(?:{dot}{atom})*)(?P<at>{at})(?P<host>{label}(?:{dot}{label})*{dot}(?P<tld>\p{{L}}{{2,}}))\b", flags),
+        "before_at": re.compile(rf"(?r)(?:mailto:)?{atom}(?:{dot}{atom})*\s*[\[({{]?\s*", flags),
+        "chunks": re.compile(r"(?r)(?:\S+\s+){1,8}"),
         "cued_id": re.compile(rf"\b{cue}\s*(?:is|was|number|no\.?|nr\.?|:|=|#)*\s*(?P<v>(?=[A-Z\d \-.]*\d)[A-Z]{{0,3}}[ \-.]?(?:[A-Z\d]*\d[A-Z\d]*)(?:[ \-.][A-Z\d]*\d[A-Z\d]*)*(?:[ \-]?[A-Z]\b)?)", flags),
         "bare_id": re.compile(r"(?<![\w\-./+])(?:\d{3}-\d{2}-\d{4}|[A-CEGHJ-PQR-TW-Z][A-Z] ?\d{2} ?\d{2} ?\d{2} ?[A-D])(?![\w\-/]|\.\d)"),
         "phone": re.compile(
@@ -88,7 +103,7 @@ def _patterns() -> dict:
         ),
         "not_number": re.compile(r"(?<![\p{L}])(?:part|parts|item|ticket|invoice|order|build|version|release|run|job|port|commit|error|code|session|turn|serial|sku|ref|reference|case|issue|bug|article|model|po|batch|lot|parcel|tracking|receipt|rechnung|bestellung|factura|facture|route|room|line|page|step|v)[\s.:#\-]*(?:id|no|nr|number|num|code|is)?[\s.:#\-]*(?:is\s+)?(?:[a-z]{1,3}-)?$", flags),
         "address": re.compile(rf"(?<![\w\-./])(?:{street_en}|{street_fr}|{street_es})(?:{_UNIT}){{0,2}}{place}|(?<![\w\-])(?:{street_de})(?:{_UNIT}){{0,2}}{place}", flags),
-        "title": re.compile(rf"\b(?:{'|'.join(TITLES)})\.?\s+", flags),
+        "title": re.compile(rf"\b(?:{'|'.join(sorted({*TITLES, *_titles()}))})\.?\s+", flags),
         "after": re.compile(rf"\s*(?:{_NOT_AFTER})", flags),
         "rest": re.compile(rf"(?P<mid>(?:\s+\p{{L}}\.|\s+\p{{L}}(?=\s)){{0,2}})\s+(?P<part>{_PARTICLE}?)(?P<fam>{_NAME})", flags),
         "before": re.compile(rf"(?P<fam>(?:{_PARTICLE})?{_NAME}),\s*$", flags),
@@ -106,13 +121,15 @@ def _automaton():
 
     def add(kind: str, *words: str) -> None:
         for w in words:
-            cues.setdefault(w, set()).add(kind)
-
-    add("email", "@", "(at", "[at", "{at", " at ", "&#64;")
-    add("number", *"0123456789")
-    add("id", "ssn", "social security", "ni number", "ni no", "nino", "national insurance", "dni", "nie ", "nif", "personalausweis", "ausweis", "passport", "reisepass", "national id", "identity", "id card", "tax id", "tax number", "steuer", "licen", "aadhaar", "cedula", "securite sociale", "curp")
-    add("address", " st", "street", "road", "rd", "ave", "lane", "ln", "court", "ct", "drive", "way", "close", "place", "square", "terrace", "crescent", "boulevard", "blvd", "row", "garden", "mews", "grove", "parade", "walk", "hill", "rue ", "chemin", "allee", "impasse", "quai", "route", "cours", "stra", "str.", "weg ", "gasse", "platz", "ring ", "damm", "ufer", "calle", "avenida", "avda", "plaza", "paseo", "camino", "carrera", "c/")
-    add("person", *GIVEN, *(t for t in TITLES))
+            cues.setdefault(_flat(w), set()).add(kind)
+
+    add("email", "@", "at", "&#64;")
+    add("number", *(c for c in map(chr, range(0x20000)) if c.isdecimal()))
+    add("id", *(head for head, _ in _CUES))
+    add("numbered", *_STREETS_EN, *_STREETS_FR)
+    add("named", *_STREETS_DE)
+    add("leading", *_STREETS_ES)
+    add("person", *GIVEN, *TITLES)
     for w, kinds in cues.items():
         a.add_word(w, (frozenset(kinds), w))
     a.make_automaton()
@@ -160,43 +177,108 @@ def _same_case(given: str, family: str) -> bool:
     return g == f or (g == "title" and (f == "title" or any(c.isupper() for c in family[:3]))) or (g == "upper" and f == "upper")
 
 
+def _anchors(flat: str) -> dict[str, list[tuple[int, int]]]:
+    """(start, end) of the anchors of each kind, in order of their ends."""
+    hits: dict[str, list[tuple[int, int]]] = {}
+    for end, (kinds, word) in _automaton().iter(flat):
+        for kind in kinds:
+            hits.setdefault(kind, []).append((end - len(word) + 1, end + 1))
+    return hits
+
+
+def _from(pattern, text: str, starts) -> Iterator:
+    """The pattern's matches at the given starts, from left to right, without overlaps."""
+    done = 0
+    for s in sorted(set(starts)):
+        if s >= done and (m := pattern.match(text, s)):
+            yield m
+            done = m.end()
+
+
+def _emails(text: str, hits: list[tuple[int, int]], p: dict) -> Iterator:
+    """From each at-sign or its disguise to the left over the mailbox, then to the right over the host."""
+    done = 0
+    for a, b in hits:
+        if a < done or (text[a].isalpha() and not (a and b < len(text) and (text[a - 1].isspace() or text[a - 1] in "[({") and (text[b].isspace() or text[b] in "])}"))):
+            continue
+        left = p["before_at"].match(text, done, a)
+        if left and (m := p["email"].match(text, left.start())):
+            yield m
+            done = m.end()
+
+
+def _cue_starts(flat: str, hits: list[tuple[int, int]]) -> list[int]:
+    return [a for a, _ in hits if not (a and (flat[a - 1].isalnum() or flat[a - 1] == "_"))]
+
+
+def _id_starts(text: str, runs: list[int]) -> list[int]:
+    """Runs of digits, and two letters right before one, with or without a space."""
+    return runs + [s for r in runs for s in (r - 2, r - 3) if s >= 0 and text[s].isalpha()]
+
+
+def _phone_starts(text: str, runs: list[int]) -> list[int]:
+    return runs + [r - 1 for r in runs if r and text[r - 1] in "+("]
+
+
+def _street_starts(text: str, flat: str, hits: dict[str, list[tuple[int, int]]], runs: list[int], p: dict) -> list[int]:
+    """Where an address around a street word may begin: a number before it, the name it ends or follows, or itself."""
+    n, starts = len(flat), [a for a, _ in hits.get("leading", ())]
+    for a, b in hits.get("numbered", ()):
+        if runs and a and text[a - 1].isspace() and not (b < n and flat[b].isalnum()) and (left := p["chunks"].match(text, 0, a)):
+            starts += runs[bisect_left(runs, left.start()) : bisect_left(runs, a)]
+    for a, b in hits.get("named", ()):
+        if b < n and text[b].isspace():
+            s = _word_start(text, a)
+            starts.append(s)
+            if s == a and a and text[a - 1].isspace():
+                starts.append(_word_start(text, a - 1))
+    return starts
+
+
+def _word_start(text: str, at: int) -> int:
+    while at and (text[at - 1].isalpha() or text[at - 1] == "-"):
+        at -= 1
+    return at
+
+
+def _matches(text: str, flat: str, hits: dict[str, list[tuple[int, int]]], p: dict) -> Iterator[tuple[str, Iterator]]:
+    """Per parser, in the order in which kinds are settled, what it finds around its anchors."""
+    runs = [a for a, _ in hits.get("number", ()) if not (a and text[a - 1].isdecimal())]
+    if "email" in hits:
+        yield "email", _emails(text, hits["email"], p)
+    if runs:
+        if "id" in hits:
+            yield "cued_id", _from(p["cued_id"], text, _cue_starts(flat, hits["id"]))
+        yield "bare_id", _from(p["bare_id"], text, _id_starts(text, runs))
+        yield "phone", _from(p["phone"], text, _phone_starts(text, runs))
+        yield "address", _from(p["address"], text, _street_starts(text, flat, hits, runs, p))
+
+
 def find_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order of place, without overlaps."""
     text = text.translate(_ALIKE)
     flat = _flat(text)
-    kinds: set[str] = set()
-    names: list[tuple[int, int]] = []
-    for end, (found, word) in _automaton().iter(flat):
-        kinds |= found
-        if "person" in found:
-            names.append((end - len(word) + 1, end + 1))
-    if not kinds:
+    hits = _anchors(flat)
+    if not hits:
         return []
     p = _patterns()
     spans: list[tuple[int, int, str]] = []
-    if "email" in kinds:
-        for m in p["email"].finditer(text):
-            if _email_ok(m, text):
-                spans.append((m.start(), m.end(), "email"))
-    if "number" in kinds:
-        if "id" in kinds:
-            for m in p["cued_id"].finditer(text):
+    for name, found in _matches(text, flat, hits, p):
+        for m in found:
+            if name == "email":
+                if _email_ok(m, text):
+                    spans.append((m.start(), m.end(), "email"))
+            elif name == "cued_id":
                 if sum(c.isdigit() for c in m["v"]) >= 4 and not _overlaps(spans, *m.span("v")):
                     spans.append((*m.span("v"), "id_number"))
-        for kind, name in (("id_number", "bare_id"), ("phone", "phone")):
-            for m in p[name].finditer(text):
-                if _overlaps(spans, *m.span()) or p["not_number"].search(text, max(0, m.start() - 24), m.start()):
-                    continue
-                digits = sum(c.isdigit() for c in m[0])
-                if kind == "phone" and not 8 <= digits <= 19:
-                    continue
-                spans.append((*m.span(), kind))
-        if "address" in kinds:
-            for m in p["address"].finditer(text):
-                if not _overlaps(spans, *m.span()):
-                    spans.append((*m.span(), "address"))
-    if names:
-        _persons(text, flat, names, spans, p)
+            elif _overlaps(spans, *m.span()):
+                continue
+            elif name == "address":
+                spans.append((m.start(), m.end(), "address"))
+            elif not p["not_number"].search(text, max(0, m.start() - 24), m.start()) and (name == "bare_id" or 8 <= sum(c.isdigit() for c in m[0]) <= 19):
+                spans.append((m.start(), m.end(), "phone" if name == "phone" else "id_number"))
+    if "person" in hits:
+        _persons(text, flat, hits["person"], spans, p)
     return sorted(spans)
 
 
@@ -205,13 +287,13 @@ def _persons(text: str, flat: str, names: list[tuple[int, int]], spans: list[tup
     for a, b in sorted(names, key=lambda x: (x[0], -x[1])):
         if a < done or (a and (flat[a - 1].isalnum() or flat[a - 1] in "@_")) or (b < len(flat) and (flat[b].isalnum() or flat[b] in "@_")):
             continue
-        if flat[a:b] in TITLES:  # a title makes any capital word after it a given name
+        if flat[a:b] in _titles():  # a title makes any capital word after it a given name
             t = p["title"].match(text, a)
             w = t and p["word"].match(text, t.end())
             if not w or _case(w[0]) == "lower" and flat[w.start() : w.end()] not in GIVEN:
                 continue
             start, g0, g1 = a, w.start(), w.end()
-            if flat[g0:g1] in TITLES:
+            if flat[g0:g1] in _titles():
                 continue
         else:
             w = p["word"].match(text, a)
@@ -243,6 +325,11 @@ def _givens() -> frozenset[str]:
     return frozenset(GIVEN)
 
 
+@cache
+def _titles() -> frozenset[str]:
+    return frozenset(map(_flat, TITLES))
+
+
 def _is_given(flat: str, a: int, b: int) -> bool:
     return flat[a:b] in _givens()
 

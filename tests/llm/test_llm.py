@@ -164,6 +164,27 @@ def test_personal_data(text, kinds):
     assert sorted(k for *_, k in pii.find_spans(text)) == sorted(kinds)
 
 
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("12 Maple Circle", ["address"]), ("Sent to 4 Old Tanners Alley and 77 N. Birch Pkwy", ["address"] * 2), ("5 Kelp Dr, 6 Kelp Quay, 7 Kelp Pl, 8 Kelp Sq, 9 Kelp Hwy", ["address"] * 5),
+        ("Lindensteig 4", ["address"]), ("Birkenweg\n12", ["address"]), ("S.S.N. 973 17 5871", ["id_number"]), ("NIE: X 1234567 L", ["id_number"]), ("Thanks, Señor Quillan Vance", ["person"]),
+        ("write to joaquin\nat\nlabs dot example", ["email"]),
+    ],
+)
+def test_every_word_of_a_parser_is_an_anchor(text, kinds):
+    assert sorted(k for *_, k in pii.find_spans(text)) == kinds
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([*"a Z 5 07 @ . , - ( ) [ ] + / ' é 415 0125 at dot [at] com example mailto: &#64; 12 N. b Maple Circle dr rue des weg Straße str. calle c/ nº QQ 50 23 19 B 973-17-5871 ssn NIE national id card is Driver's license".split(" "), " ", " ", "  ", "\n"]), max_size=30).map("".join))
+def test_anchors_lose_nothing_of_whole_text_search(text):
+    flat, p = pii._flat(text), pii._patterns()
+    found = {name: [m.span() for m in ms] for name, ms in pii._matches(text, flat, pii._anchors(flat), p)}
+    for name in ("email", "cued_id", "bare_id", "phone", "address"):
+        assert found.get(name, []) == [m.span() for m in p[name].finditer(text)]
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("aR5@.- (),'é Ulla​+0st"), max_size=80))
 def test_spans_are_ordered_and_within(text):
