@@ -416,7 +416,7 @@ def _prefix(s, d):
 
 @query("greedy_fill")
 def _greedy(s, d):
-    u = _utterances(s, d).where("text is not null and session_id is not null and session_id <> 'sess-default'")
+    u = _utterances(s, d).where("text is not null and session_id is not null")
     ranked = u.select(F.col("session_id").alias("sample_id"), F.struct("timestamp", "id").alias("rank"), F.col("id").alias("pos"), lexical.estimated_tokens(F.col("text")).alias("cost"))
     return evaluate.fill(ranked, 60)
 

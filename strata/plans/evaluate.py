@@ -29,10 +29,25 @@ def lexical_scores(turns: DataFrame, questions: DataFrame) -> DataFrame:
     return part.groupBy("sample_id", "pos").agg(F.round(F.sum(F.log(F.col("total") / (1 + F.col("df"))) / F.sqrt("n")), 6).alias("score"))
 
 
+def contenders(ranked: DataFrame, budget_tokens: int) -> DataFrame:
+    """The rows that decide a greedy fill: of a sample and cost c the first budget // c in rank order.
+
+    Once a cost doesn't fit it never fits again, so what is kept of a cost is always its first rows, and no more
+    than the budget has room for. A sample keeps at most budget * (ln(budget) + 1) rows that cost anything,
+    however long it is, and one for all that cost more than the budget; rows without cost all stay.
+    """
+    cost = F.least(F.col("cost").cast("bigint"), F.lit(budget_tokens + 1))
+    free = F.when(F.col("cost") < 1, F.col("pos"))
+    nth = F.row_number().over(Window.partitionBy("sample_id", "class_", "free_").orderBy("rank", "pos"))
+    rows = ranked.withColumn("class_", cost).withColumn("free_", free).withColumn("nth_", nth)
+    # the first bound is a constant, so that partitions are cut before they are shuffled
+    return rows.where((F.col("nth_") <= max(budget_tokens, 1)) & ((F.col("nth_") == 1) | (F.col("nth_") * F.col("class_") <= budget_tokens))).select(ranked.columns)
+
+
 def fill(ranked: DataFrame, budget_tokens: int) -> DataFrame:
     """(sample_id, kept array<pos>): turns in rank order while they fit, those that don't being skipped.
-    ranked: sample_id, rank, pos, cost; a sample's ranked list is its haystack, of bounded length."""
-    lists = ranked.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "cost"))).alias("l"))
+    ranked: sample_id, rank, pos, cost; a sample may be of any length."""
+    lists = contenders(ranked, budget_tokens).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("rank", "pos", "cost"))).alias("l"))
     kept = budget.greedy(F.transform("l", lambda x: x["cost"].cast("bigint")), budget_tokens)
     return lists.select("sample_id", F.transform(kept, lambda i: F.get("l", i)["pos"]).alias("kept"))
 

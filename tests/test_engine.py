@@ -210,6 +210,29 @@ def test_budgets(spark):
     assert [r.i for r in budget.prefix(df, ["g"], [F.col("i").asc()], "c", 10).collect()] == [0]
 
 
+@settings(max_examples=8, deadline=None)
+@given(costs=st.lists(st.sampled_from([0, 1, 2, 3, 7, 9, 12, 40, None]), max_size=60), most=st.sampled_from([0, 5, 30]))
+def test_fill_equals_one_pass(spark, costs, most):
+    used, want = 0, []
+    for i, c in enumerate(costs):
+        if c is not None and used + c <= most:
+            used, want = used + c, [*want, i]
+    rows = [("hot", i, i, c) for i, c in enumerate(costs)] + [("big", 0, 0, 99)]
+    ranked = spark.createDataFrame(rows, "sample_id string, rank int, pos int, cost int")
+    assert {r.sample_id: r.kept for r in evaluate.fill(ranked, most).collect()} == {"big": [], **({"hot": want} if costs else {})}
+
+
+def test_fill_of_a_hot_session(spark, tmp_path):
+    from strata import catalog
+
+    ranked = spark.range(20_000).select(F.lit("hot").alias("sample_id"), F.col("id").alias("rank"), F.col("id").alias("pos"), (1 + F.col("id") % 90).alias("cost"))
+    assert evaluate.contenders(ranked, 60).count() == sum(60 // c for c in range(1, 61)) + 1
+    day = datetime(2025, 1, 1)
+    said = [(f"u{i}", "one two three four", day, i, 4, "user", "sess-default", "t") for i in range(30)]
+    spark.createDataFrame(said, "id string, text string, timestamp timestamp, utterance_number int, token_count int, speaker string, session_id string, turn_id string").write.parquet(f"{tmp_path}/utterances.parquet")
+    assert [(r.sample_id, len(r.kept)) for r in catalog.queries()["greedy_fill"](spark, str(tmp_path)).collect()] == [("sess-default", 15)]
+
+
 def test_evaluation(spark):
     t = loaders.synthetic(spark, 10, 4)
     s = t.select(F.col("sample_id"), "category", F.col("should_abstain").alias("abstain")).distinct()
