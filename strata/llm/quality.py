@@ -5,11 +5,12 @@ ranks every statistic within its language exactly: values are counted, the
 counts are sorted by range partitioning, and each partition adds the offset of
 those before it; so the empirical tail probabilities need no global sort in one
 task and no window over a language. ``scored`` joins them back and sums their
-logarithms into an outlier score. ``kinds`` takes the documents with a tail in a
-direction that prose doesn't lean to and checks which kind they are.
+logarithms into an outlier score. ``kinds`` checks every document, however usual
+it is: where most texts are alike and odd, their tails are no small ones.
 
-The rounded statistics have a fixed number of values (shares of thousandths,
-lengths cut at 1000), so the tables that are broadcast don't grow with the data.
+The rounded shares have a fixed number of values (thousandths), so the tables
+that are broadcast don't grow with the data; those of the two lengths are
+broadcast only while they are small.
 
 Defined cases: null texts and texts without visible characters have no row;
 the language is the one whose common words occur most, else the given one, else
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from strata.functions.plan import hold, spread
 from strata.functions.text import visible
-from strata.session import cut
+from strata.session import cut, small_enough
 
 # fixed values: common words by language
 COMMON = {
@@ -36,8 +37,9 @@ COMMON = {
 }
 #: direction in which a statistic leans away from prose: 1 high, -1 low
 LEAN = {"symbol_ratio": 1, "end_share": -1, "common_share": -1, "marked_share": 1, "short_share": 1, "cell_share": 1, "letter_share": -1, "unique_share": -1, "tag_share": 1, "longest": 1, "clash_share": 1, "mean_word": 1}
-#: documents with a tail probability up to this in one of these directions are checked
-TAIL = 0.5
+#: statistics without a fixed number of values, and the most rows of their tails that are broadcast
+LENGTHS = ("longest", "mean_word")
+BROADCAST_ROWS = 50_000
 #: stands for the whole corpus among the languages
 ALL = "*"
 
@@ -104,7 +106,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
         "doc_id",
         F.when(best["n"] > 0, best["l"]).otherwise(F.coalesce("given_", F.lit("xx"))).alias("language"),
         "chars", "lines", "words",
-        F.round(F.least(F.lit(1000.0), F.coalesce(F.try_divide(F.col("letters_"), F.col("words")), F.lit(0.0))), 1).alias("mean_word"),
+        F.round(F.coalesce(F.try_divide(F.col("letters_"), F.col("words")), F.lit(0.0)), 1).alias("mean_word"),
         F.round(1 - F.coalesce(F.try_divide(F.col("alnum_"), F.col("solid_")), F.lit(0.0)), 3).alias("symbol_ratio"),
         per("ends_", "lines").alias("end_share"),
         F.round(F.least(F.lit(1.0), F.coalesce(F.try_divide(best["n"], F.col("words")), F.lit(0.0))), 3).alias("common_share"),
@@ -117,7 +119,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: s
         per("marked_chars_", "chars").alias("marked_chars"),
         per("sentence_chars_", "chars").alias("sentence_chars"),
         per("tags_", "words").alias("tag_share"),
-        F.least(F.lit(1000), "longest_").cast("double").alias("longest"),
+        F.col("longest_").cast("double").alias("longest"),
         per("clash_", "words").alias("clash_share"),
     )
 
@@ -146,18 +148,18 @@ def scored(stats: DataFrame, names: tuple[str, ...] = tuple(LEAN)) -> DataFrame:
     of them (within the language or the corpus, since a small language may hold nothing but oddities) and
     the outlier score, the sum of their negative logarithms within the language."""
     tails = cut(tail_table(stats, names), "tails")
-    # (language, value) pairs of one statistic: languages by at most 1001 (10001) rounded values
+    # (language, value) pairs of one statistic: languages by at most 1001 rounded values, or by all lengths there are
     for n in names:
         side = "high" if LEAN[n] > 0 else "low"
         one = tails.where(F.col("stat") == n).select("language", F.col("value").alias(n), F.col(side).alias(f"tail_{n}"), F.least(side, f"{side}_all").alias(f"any_{n}"))
-        stats = stats.join(F.broadcast(one), ["language", n])
+        stats = stats.join(F.broadcast(one) if n not in LENGTHS or small_enough(one, BROADCAST_ROWS) else one, ["language", n])
     p = [F.col(f"tail_{n}") for n in names]
     stats = stats.withColumn("least_tail", F.least(*[f"any_{n}" for n in names])).drop(*[f"any_{n}" for n in names])
     return stats.select("*", F.round(reduce(lambda a, b: a + b, [-F.log(x) for x in p]), 6).alias("outlier_score"))
 
 
 def kind_of() -> Column:
-    """list, table, junk or null (prose), from the statistics of a document that was found odd."""
+    """list, table, junk or null (prose), from the statistics of a document."""
     c = F.col
     several, short_words = c("lines") >= 2, c("words") >= c("lines") * 0.5
     table = several & (c("cell_share") >= 0.75) & (c("sentence_chars") < 0.4) & (c("common_share") < 0.3) & (c("tag_share") < 0.16) & (c("clash_share") < 0.3) & (c("symbol_ratio") < 0.85)
@@ -171,5 +173,4 @@ def kind_of() -> Column:
 
 def kinds(docs: DataFrame) -> DataFrame:
     """(doc_id, kind) of the documents that aren't prose."""
-    odd = scored(cut(statistics(docs), "statistics")).where(F.col("least_tail") <= TAIL)
-    return odd.select("doc_id", kind_of().alias("kind")).where("kind is not null")
+    return hold(statistics(docs), kind=kind_of()).select("doc_id", "kind").where("kind is not null")

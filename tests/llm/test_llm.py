@@ -283,6 +283,21 @@ def test_kinds(spark):
     assert quality.kinds(df.limit(0)).count() == 0
 
 
+def test_kinds_of_a_corpus_of_copies(spark):
+    rows = [(i, DOCS[3 if i < 60 else 9][0], "en") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {(r.doc_id, r.kind) for r in quality.kinds(df).collect()} == {(i, "list") for i in range(60)}
+
+
+def test_lengths_are_whole(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a" * 1500, "en"), (2, "b" * 2500, "en"), (3, "the tea", "en")], "doc_id bigint, text string, lang string")
+    want = {1: (1500.0, 1500.0, 2 / 3), 2: (2500.0, 2500.0, 1 / 3), 3: (3.0, 3.0, 1.0)}
+    for most in (quality.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", most)
+        got = {r.doc_id: (r.longest, r.mean_word, r.tail_longest) for r in quality.scored(quality.statistics(df)).collect()}
+        assert got == {i: (a, b, pytest.approx(c)) for i, (a, b, c) in want.items()}
+
+
 def test_ranks_are_exact(spark):
     r = random.Random(3)
     rows = [(i, r.choice(["en", "de"]), round(r.choice([0.0, 0.25, r.random()]), 3)) for i in range(500)]
