@@ -9,21 +9,24 @@ offset before the change counts), one gives the offset.
 
 Defined cases: null, empty, meaningless or impossible values (month 13, hour 27)
 give no row; an unknown zone name counts as none given; digits finer than
-microseconds are cut off; missing parts are 0; extra columns are kept as they
+microseconds are cut off; missing parts are 0; every year has its own offsets; extra columns are kept as they
 are, the added ones end in ``_`` or are named by the caller.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 from functools import cache
 from zoneinfo import ZoneInfo, available_timezones
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.plan import hold
 from strata.functions.text import BLANK_CLASS
+from strata.session import cut
 
 # fixed values: offsets of zone abbreviations in minutes
 ABBREVIATIONS = {
@@ -117,59 +120,86 @@ def parse_local(df: DataFrame, value: str, default_zone: str | None) -> DataFram
     )
 
 
-@cache
-def _intervals(first: int, last: int) -> list[tuple[str, int, list[tuple[int, int, int, bool]]]]:
-    """(zone, year, [(local start, local end, offset, is a gap)]) in seconds, of every zone of the tz database."""
-    lo, hi = datetime(first, 1, 1, tzinfo=UTC), datetime(last + 1, 1, 1, tzinfo=UTC)
-    step, out = timedelta(days=27), []
+#: years of the table that every query gets; other years of the data are worked out as they occur
+YEARS = (1970, 2040)
+#: years with intervals of their own: earlier ones have the local mean time of this one, later ones
+#: follow rules that repeat after 400 years
+FIRST, LAST = 1800, 2500
+CYCLE_S = 146_097 * 86_400
+
+
+def _zone_years(name: str, first: int, last: int, days: int = 27) -> list[tuple[str, int, list[tuple[int, int, int, bool]]]]:
+    """(zone, year, [(local start, local end, offset, is a gap)]) in seconds."""
+    # a year more at both ends: local years don't start at midnight UTC
+    lo, hi = datetime(first - 1, 1, 1, tzinfo=UTC), datetime(last + 2, 1, 1, tzinfo=UTC)
+    step, out = timedelta(days=days), []
     far = 1 << 40
-    for name in sorted(available_timezones()):
-        zone = ZoneInfo(name)
-        off = lambda t, z=zone: int(t.astimezone(z).utcoffset().total_seconds())
-        changes, t, cur = [], lo, off(lo)
-        spans = [[-far, None, cur]]
-        while t < hi:
-            nxt = min(t + step, hi)
-            if (o := off(nxt)) != cur:
-                a, b = int(t.timestamp()), int(nxt.timestamp())
-                while b - a > 1:
-                    m = (a + b) // 2
-                    a, b = (m, b) if off(datetime.fromtimestamp(m, UTC)) == cur else (a, m)
-                cur = off(datetime.fromtimestamp(b, UTC))
-                changes.append(b)
-                spans[-1][1] = b
-                spans.append([b, None, cur])
-                if cur != o:  # two changes within one step
-                    t = datetime.fromtimestamp(b, UTC)
-                    continue
-            t = nxt
-        spans[-1][1] = far
-        local = [(a + o, b + o, o, False) for a, b, o in spans]
-        local += [(p[1], n[0], p[2], True) for p, n in zip(local, local[1:], strict=False) if n[0] > p[1]]
-        for year in range(first, last + 1):
-            y0, y1 = int(datetime(year, 1, 1, tzinfo=UTC).timestamp()), int(datetime(year + 1, 1, 1, tzinfo=UTC).timestamp())
-            out.append((name, year, [x for x in local if x[0] < y1 and x[1] > y0]))
+    zone = ZoneInfo(name)
+    off = lambda t, z=zone: int(t.astimezone(z).utcoffset().total_seconds())
+    changes, t, cur = [], lo, off(lo)
+    spans = [[-far, None, cur]]
+    while t < hi:
+        nxt = min(t + step, hi)
+        if (o := off(nxt)) != cur:
+            a, b = int(t.timestamp()), int(nxt.timestamp())
+            while b - a > 1:
+                m = (a + b) // 2
+                a, b = (m, b) if off(datetime.fromtimestamp(m, UTC)) == cur else (a, m)
+            cur = off(datetime.fromtimestamp(b, UTC))
+            changes.append(b)
+            spans[-1][1] = b
+            spans.append([b, None, cur])
+            if cur != o:  # two changes within one step
+                t = datetime.fromtimestamp(b, UTC)
+                continue
+        t = nxt
+    spans[-1][1] = far
+    local = [(a + o, b + o, o, False) for a, b, o in spans]
+    local += [(p[1], n[0], p[2], True) for p, n in zip(local, local[1:], strict=False) if n[0] > p[1]]
+    for year in range(first, last + 1):
+        y0, y1 = int(datetime(year, 1, 1, tzinfo=UTC).timestamp()), int(datetime(year + 1, 1, 1, tzinfo=UTC).timestamp())
+        out.append((name, year, [x for x in local if x[0] < y1 and x[1] > y0]))
     return out
 
 
-def zone_intervals(spark: SparkSession, first: int = 1970, last: int = 2040) -> DataFrame:
+@cache
+def _intervals(first: int, last: int) -> list[tuple[str, int, list[tuple[int, int, int, bool]]]]:
+    """The intervals of every zone of the tz database."""
+    return [row for name in sorted(available_timezones()) for row in _zone_years(name, first, last)]
+
+
+def _other_years(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = available_timezones()
+    for batch in batches:
+        rows = [row for z, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) if z in known for row in _zone_years(z, y, y, days=6)]
+        spans = [[dict(zip(("lo", "hi", "off", "gap"), s, strict=True)) for s in row[2]] for row in rows]
+        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("off", pa.int64()), ("gap", pa.bool_())]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array(spans, kind)], ["zone_", "year_", "spans_"])
+
+
+SPANS = "zone_ string, year_ int, spans_ array<struct<lo: bigint, hi: bigint, off: bigint, gap: boolean>>"
+
+
+def zone_intervals(spark: SparkSession, first: int = YEARS[0], last: int = YEARS[1]) -> DataFrame:
     """Zone-offset intervals exploded by (zone, year): about 600 zones by the years, a fixed size."""
-    schema = "zone_ string, year_ int, spans_ array<struct<lo: bigint, hi: bigint, off: bigint, gap: boolean>>"
-    return spark.createDataFrame(_intervals(first, last), schema)
+    return spark.createDataFrame(_intervals(first, last), SPANS)
 
 
-def resolve(df: DataFrame, value: str, out: str = "utc_us", default_zone: str | None = None, flag: str | None = None, years: tuple[int, int] = (1970, 2040)) -> DataFrame:
+def resolve(df: DataFrame, value: str, out: str = "utc_us", default_zone: str | None = None, flag: str | None = None, years: tuple[int, int] = YEARS) -> DataFrame:
     """``df`` with the instant of ``value`` in microseconds since 1970 UTC, null where there is none.
 
     ``flag`` names a column that says how the offset was found: ``given``,
     ``unique``, ``ambiguous`` or ``skipped``.
     """
-    spans = zone_intervals(df.sparkSession, *years)
-    parsed = parse_local(df, value, default_zone).withColumn("year_", F.greatest(F.lit(years[0]), F.least(F.lit(years[1]), "year_")))
-    # the table's size is fixed by the tz database, so it may be broadcast at any scale
+    late = F.greatest(F.lit(0), F.ceil((F.col("year_") - LAST) / 400)).cast("bigint")
+    parsed = cut(parse_local(df, value, default_zone).withColumn("cycles_", F.coalesce(late, F.lit(0))), "parsed")
+    parsed = parsed.withColumn("year_", F.greatest(F.lit(FIRST), (F.col("year_") - 400 * F.col("cycles_")).cast("int")))
+    other = parsed.where(~F.col("year_").between(*years) & F.col("offset_s_").isNull() & F.col("local_us_").isNotNull()).select("zone_", "year_").distinct()
+    # both tables' sizes are bounded by the tz database, so they may be broadcast at any scale: zones by the years up to LAST
+    spans = zone_intervals(df.sparkSession, *years).unionByName(other.mapInArrow(_other_years, SPANS))
     j = parsed.join(F.broadcast(spans), ["zone_", "year_"], "left")
     keep = [c for c in df.columns if c not in (out, flag)]
-    sec = F.floor(F.col("local_us_") / 1000000)
+    sec = F.floor(F.col("local_us_") / 1000000) - F.col("cycles_") * CYCLE_S
     spans = F.filter("spans_", lambda s: (s["lo"] <= sec) & (sec < s["hi"]))
     j = j.select(*keep, "local_us_", "offset_s_", spans.alias("hits_"))
     # of two matches the one with the larger offset is the earlier instant

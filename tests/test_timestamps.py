@@ -54,6 +54,20 @@ def test_every_half_hour_around_changes_equals_zoneinfo(spark, zone):
         assert (r.how == "unique") == (again.utcoffset() == local.utcoffset()), r.value
 
 
+def test_years_beyond_the_table_have_their_own_offsets(spark):
+    days = [f"{y}-{m:02d}-{d:02d} {t}" for y in (1700, 1883, 1942, 1965, 2041, 2045, 2086, 2501, 2750, 9998) for m, d, t in ((1, 1, "00:00"), (7, 1, "12:00"), (12, 31, "23:30"))]
+    days += ["2045-03-26 02:30", "2045-10-29 02:30", "1965-10-31 01:30", "1965-04-25 02:30", "2750-10-25 02:30"]
+    zones = ("Europe/Berlin", "America/New_York", "Africa/Casablanca", "Australia/Lord_Howe")
+    df = spark.createDataFrame([(v, z) for v in days for z in zones], "value string, zone string")
+    rows = resolve(df, "value", "utc_us", "zone", flag="how").collect()
+    assert len(rows) == len(days) * len(zones)
+    for r in rows:
+        local = datetime.fromisoformat(r.value).replace(tzinfo=ZoneInfo(r.zone), fold=0)
+        again = local.replace(fold=1)
+        assert r.utc_us == round((local.astimezone(UTC) - datetime(1970, 1, 1, tzinfo=UTC)).total_seconds()) * 1_000_000, (r.value, r.zone)
+        assert (r.how == "unique") == (again.utcoffset() == local.utcoffset()), (r.value, r.zone)
+
+
 def test_layouts_and_extra_columns(spark):
     df = spark.createDataFrame([("2025-01-01", 5, "x")], "value string, year int, spans string")
     r = resolve(df, "value").collect()[0]
