@@ -3,9 +3,11 @@
 Best-fit decreasing with conflicts: open bins are ordered by residual room and
 carry bitmaps of the sources and of the duplicate clusters they hold; the search
 starts at the tightest bin that has room and goes on to the next larger residual
-until a compatible bin is found. Conflicts are a preference: an item whose every
-fitting bin holds a copy of it takes the tightest of them, so that room is never
-lost to copies (``strict=True`` opens a new bin instead).
+until a compatible bin is found. Conflicts are a preference: of the bins of one
+residual, all of which are looked at by bitmap, one without the item's source is
+taken if there is any; an item whose every fitting bin holds a copy of it takes
+the tightest of them, so that room is never lost to copies. With ``strict=True``
+neither a source nor a copy shares a bin, a new one being opened instead.
 
 An item larger than the capacity is cut into full pieces, which fill bins of
 their own, and one rest. Other items are never split.
@@ -35,18 +37,17 @@ OUT = "budget_id int, bin_id string, item bigint, part int, size int, source str
 
 def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity: int, strict: bool = False) -> list[int]:
     """Bin number of each item (items in the order given, best largest first)."""
-    by_room: dict[int, list[int]] = {}  # residual -> bins, last in first out
+    by_room: dict[int, dict[int, list[int]]] = {}  # residual -> source bitmap -> bins, last in first out
     rooms: list[int] = []  # residuals in use, ascending
     src_bits: list[int] = []
     dup_bits: list[set[int]] = []
     out: list[int] = []
 
     def put(b: int, room: int) -> None:
-        if room in by_room:
-            by_room[room].append(b)
-        else:
-            by_room[room] = [b]
+        if room not in by_room:
+            by_room[room] = {}
             rooms.insert(bisect_left(rooms, room), room)
+        by_room[room].setdefault(src_bits[b], []).append(b)
 
     for size, source, cluster in zip(sizes, sources, clusters, strict=True):
         at = bisect_left(rooms, size)
@@ -54,36 +55,38 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
         bit = 1 << source
         k = at
         while k < len(rooms) and chosen is None:  # successor search
-            room, fresh = rooms[k], None
-            for pos in range(len(by_room[room]) - 1, -1, -1):
-                b = by_room[room][pos]
-                if cluster and cluster in dup_bits[b]:
+            room, shared = rooms[k], None
+            for bits, bins in by_room[room].items():
+                if bits & bit and (strict or shared):
                     continue
-                if not src_bits[b] & bit:  # of equal residuals, one without this source is preferred
-                    chosen = (room, pos)
-                    break
-                if fresh is None:
-                    fresh = (room, pos)
-                if len(by_room[room]) - pos > 16:
+                pos = next((i for i in range(len(bins) - 1, -1, -1) if not cluster or cluster not in dup_bits[bins[i]]), None)
+                if pos is None:
+                    continue
+                if not bits & bit:  # of equal residuals, one without this source is preferred
+                    chosen = (room, bits, pos)
                     break
-            chosen = chosen or fresh
+                shared = (room, bits, pos)
+            chosen = chosen or shared
             k += 1
         if chosen is None and not strict and at < len(rooms):
-            fallback = (rooms[at], len(by_room[rooms[at]]) - 1)
+            bits, bins = next(iter(by_room[rooms[at]].items()))
+            fallback = (rooms[at], bits, len(bins) - 1)
         if (take := chosen or fallback) is not None:
-            room, pos = take
-            bins = by_room[room]
-            b = bins.pop(pos)
-            if not bins:
+            room, bits, pos = take
+            groups = by_room[room]
+            b = groups[bits].pop(pos)
+            if not groups[bits]:
+                del groups[bits]
+            if not groups:
                 del by_room[room]
                 rooms.pop(bisect_left(rooms, room))
+            src_bits[b] |= bit
             put(b, room - size)
         else:
             b = len(src_bits)
-            src_bits.append(0)
+            src_bits.append(bit)
             dup_bits.append(set())
             put(b, capacity - size)
-        src_bits[b] |= bit
         if cluster:
             dup_bits[b].add(cluster)
         out.append(b)

@@ -259,6 +259,13 @@ def test_best_fit_prefers_compatible_bins():
     assert packing.best_fit([50, 50], [0, 0], [7, 7], 100, strict=True) == [0, 1]
 
 
+def test_a_bin_without_the_source_is_found_however_far():
+    # 1 bin of source 1, then 40 bins of source 0 with the same room: an item of source 0 belongs in the first
+    got = packing.best_fit([60] * 41 + [40], [1] + [0] * 41, [0] * 42, 100)
+    assert got == [*range(41), 0]
+    assert packing.best_fit([50, 40, 10], [0, 0, 1], [0, 0, 0], 100, strict=True) == [0, 1, 0]
+
+
 # ---- quality -------------------------------------------------------------------------------------
 DOCS = {
     1: ("We paused the import this morning and nothing else changed. It was slow, so we left it.", None),
