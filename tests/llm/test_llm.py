@@ -30,19 +30,54 @@ def test_sound_and_unsound_sessions(spark, tmp_path):
     df = spark.createDataFrame(rows, TURN)
     df.withColumn("block", F.lit(1)).write.parquet(f"{tmp_path}/turns")
     want = {("ok", 0, "t1", "system"), ("ok", 1, "t0", "user"), ("ok", 2, "t2", "assistant"), ("nil", 0, "t18", "user"), ("nil", 1, "t19", "assistant")}
-    streamed = conversations.replay(spark, f"{tmp_path}/turns")
+    streamed = conversations.replay(spark, f"{tmp_path}/turns", files_per_trigger=1)
     assert {tuple(r) for r in conversations.sound_turns(streamed).collect()} == want
-    assert {tuple(r) for r in conversations.sound_turns(conversations.batch_turns(df)).collect()} == want
+    assert {tuple(r) for r in conversations.sound_turns(conversations.batch_blocks(df)).collect()} == want
+    faults = {r.session_id: r.fault for r in streamed.collect() if r.fault}
+    assert faults == {"gap": "gap", "two": "twice", "blank": "role", "who": "role", "null": "number"}
+
+
+def test_sessions_spread_over_micro_batches_stay_whole(spark, tmp_path):
+    rows = [(f"{s}{n}", f"s{s}", n, datetime(2025, 1 + (5 * n + s) % 12, 3), ("user", "ai")[n % 2], f"{n}") for s in range(4) for n in range(6)]
+    df = spark.createDataFrame(rows, TURN)
+    for i in range(4):
+        df.where(F.pmod(F.xxhash64("id"), F.lit(4)) == i).coalesce(1).write.mode("append").parquet(f"{tmp_path}/turns")
+    got = conversations.sound_turns(conversations.replay(spark, f"{tmp_path}/turns", files_per_trigger=1)).collect()
+    assert {(r.session_id, r.pos, r.turn_id) for r in got} == {(f"s{s}", n, f"{s}{n}") for s in range(4) for n in range(6)} and len(got) == 24
+
+
+def test_late_rows_join_until_the_timeout_and_not_after(spark, tmp_path):
+    day = lambda d, h=0: datetime(2025, 1, d, h)
+    files = [
+        [("a0", "a", 0, day(2), "user", "x"), ("d0", "d", 0, day(2), "user", "x")],
+        [("b0", "b", 0, day(3), "user", "x"), ("b1", "b", 1, day(3, 1), "ai", "y")],
+        [("a1", "a", 1, day(2, 3), "ai", "y")],  # late by less than two days
+        [("c0", "c", 0, day(20), "user", "x")],  # carries the watermark to the 18th
+        [("d1", "d", 1, day(2, 4), "ai", "y")],  # too late: d has timed out without it
+        [("c1", "c", 1, day(20, 1), "ai", "y")],
+    ]
+    root, closed = f"{tmp_path}/root", []
+    for rows in files:
+        spark.createDataFrame(rows, TURN).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        conversations.start(conversations.source(spark, root, f"{tmp_path}/in"), root, "2 days", "3 days").awaitTermination()
+        closed.append({(r.session_id, r.fault, tuple(e.id for e in r.entries)) for r in conversations.emitted(spark, root).collect()})
+    timed_out = {("a", None, ("a0", "a1")), ("b", None, ("b0", "b1")), ("d", None, ("d0",))}
+    assert closed[:3] == [set()] * 3 and closed[3:] == [timed_out] * 3
+    conversations.punctuate(spark, root)
+    conversations.start(conversations.source(spark, root, f"{tmp_path}/in"), root, "2 days", "3 days").awaitTermination()
+    found = conversations.sound_turns(conversations.emitted(spark, root)).collect()
+    assert {(r.session_id, r.pos, r.turn_id, r.speaker_role) for r in found} == {(s, i, f"{s}{i}", ("user", "assistant")[i]) for s in "abc" for i in range(2)}
 
 
 def test_long_session_crosses_blocks(spark):
     n = 3 * conversations.BLOCK + 5
     rows = [(f"{i:06d}", "long", i, T0, "user" if i % 2 == 0 else "ai", "x") for i in range(n - n % 2)]
-    assert conversations.sound_turns(conversations.batch_turns(spark.createDataFrame(rows, TURN))).count() == len(rows)
-    broken = [r if r[2] != conversations.BLOCK else (*r[:4], "ai", "x") for r in rows[1:]]
-    broken = [(*r[:2], r[2], *r[3:4], "user" if r[2] == conversations.BLOCK - 1 else r[4], r[5]) for r in broken]
-    assert conversations.sound_turns(conversations.batch_turns(spark.createDataFrame(broken, TURN))).count() in (0, len(broken))
-    assert conversations.sound_turns(conversations.batch_turns(spark.createDataFrame([], TURN))).count() == 0
+    assert conversations.sound_turns(conversations.batch_blocks(spark.createDataFrame(rows, TURN))).count() == len(rows)
+    # a user's turn at the end of a block, and a user's after it
+    edge = [(*r[:4], "user" if r[2] in (conversations.BLOCK - 1, conversations.BLOCK) else r[4], r[5]) for r in rows]
+    assert conversations.sound_turns(conversations.batch_blocks(spark.createDataFrame(edge, TURN))).count() == 0
+    assert conversations.sound_turns(conversations.batch_blocks(spark.createDataFrame(rows[1:], TURN))).count() == len(rows) - 1
+    assert conversations.sound_turns(conversations.batch_blocks(spark.createDataFrame([], TURN))).count() == 0
 
 
 # ---- canonical list ------------------------------------------------------------------------------
