@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: white space in the widest sense, controls and invisible format characters
 BLANK_CLASS = r"[\s\p{Z}\p{Cc}\p{Cf}⠀ㅤᅟᅠ]"
+_VISIBLE = "[^" + BLANK_CLASS[1:]
 _FOLD_RANGES = ((0x00C0, 0x0250), (0x1E00, 0x1F00), (0xFF01, 0xFF5F))
 #: letters without a decomposition that are one letter in plain ASCII
 _FOLD_EXTRA = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ħ": "h", "ı": "i", "ŧ": "t"}
@@ -64,7 +65,7 @@ def squeeze(c: Column) -> Column:
 
 def visible(c: Column) -> Column:
     """True if the text has a visible character; false for null."""
-    return F.coalesce(F.length(F.regexp_replace(c, f"{BLANK_CLASS}+", "")) > 0, F.lit(False))
+    return F.coalesce(c.rlike(_VISIBLE), F.lit(False))
 
 
 def words_key(c: Column) -> Column:
