@@ -85,17 +85,29 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(cut(quality.statistics(read_table(spark, sf_dir, "documents")), "statistics"))
 
 
+def p10_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranks alone, of the lengths of all documents within the language given."""
+    docs = read_table(spark, sf_dir, "documents").where("n_chars is not null").select(F.coalesce("lang", F.lit("xx")).alias("language"), "n_chars")
+    return quality.tail_table(docs, ("n_chars",))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p4_gathered": p4_gathered, "p6_found": p6_found, "p6_redacted": p6_redacted,
-        "p8_ids": p8_ids, "p9_bins": p9_bins, "p10_found": p10_found, "p10_scores": p10_scores,
+        "p8_ids": p8_ids, "p9_bins": p9_bins, "p10_found": p10_found, "p10_scores": p10_scores, "p10_ranks": p10_ranks,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p4_found": P4_SQL}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p10_ranks": P10_RANKS_SQL}
 
 
+P10_RANKS_SQL = """
+WITH d AS (SELECT coalesce(lang, 'xx') AS language, n_chars AS v FROM documents WHERE n_chars IS NOT NULL),
+g AS (SELECT language, v, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT '*', v, count(*) FROM d GROUP BY ALL)
+SELECT language, 'n_chars' AS stat, CAST(v AS DOUBLE) AS value, CAST(sum(n) OVER (PARTITION BY language ORDER BY v) AS BIGINT) AS upto,
+  CAST(sum(n) OVER (PARTITION BY language ORDER BY v DESC) AS BIGINT) AS beyond, CAST(sum(n) OVER (PARTITION BY language) AS BIGINT) AS total FROM g
+"""
 _TRIM = r"regexp_replace({0}, '^[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+|[\s\p{{Z}}\p{{Cc}}\p{{Cf}}]+$', '', 'g')"
 P1_SQL = f"""
 WITH r AS (

@@ -331,24 +331,30 @@ def test_kinds_of_a_corpus_of_copies(spark):
     assert {(r.doc_id, r.kind) for r in quality.kinds(df).collect()} == {(i, "list") for i in range(60)}
 
 
+def test_scores_decide(spark):
+    df = spark.createDataFrame([(i, t, "en") for i, (t, _) in DOCS.items()], "doc_id bigint, text string, lang string")
+    scored = quality.scored(quality.statistics(df)).cache()
+    kinds = lambda d: {r.doc_id: r.kind for r in d.withColumn("kind", quality.kind_of()).where("kind is not null").collect()}
+    assert kinds(scored) == {i: k for i, (_, k) in DOCS.items() if k}
+    assert kinds(scored.withColumns({c: F.lit(0.0) for c in ("outlier_score", "list_score", "table_score")})) == {}
+
+
 def test_lengths_are_whole(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a" * 1500, "en"), (2, "b" * 2500, "en"), (3, "the tea", "en")], "doc_id bigint, text string, lang string")
-    want = {1: (1500.0, 1500.0, 2 / 3), 2: (2500.0, 2500.0, 1 / 3), 3: (3.0, 3.0, 1.0)}
+    want = {1: (1500.0, 1500.0, 1.0), 2: (2500.0, 2500.0, 1.0), 3: (3.0, 3.0, 0.0)}
     for most in (quality.BROADCAST_ROWS, 0):
         monkeypatch.setattr(quality, "BROADCAST_ROWS", most)
-        got = {r.doc_id: (r.longest, r.mean_word, r.tail_longest) for r in quality.scored(quality.statistics(df)).collect()}
-        assert got == {i: (a, b, pytest.approx(c)) for i, (a, b, c) in want.items()}
+        got = {r.doc_id: (r.longest, r.mean_word, r.e_longest) for r in quality.scored(quality.statistics(df)).collect()}
+        assert got == want
 
 
 def test_ranks_are_exact(spark):
     r = random.Random(3)
-    rows = [(i, r.choice(["en", "de"]), round(r.choice([0.0, 0.25, r.random()]), 3)) for i in range(500)]
-    df = spark.createDataFrame(rows, "doc_id int, language string, x double")
-    rows7 = quality.tail_table(df, ("x",), 7).collect()
-    got = {(t.language, t.value): (t.low, t.high) for t in rows7}
-    every = [x for *_, x in rows]
-    assert all(t.low_all == pytest.approx(sum(x <= t.value for x in every) / 500) for t in rows7)
-    for lang in ("en", "de"):
-        vals = [x for _, l, x in rows if l == lang]
-        for v in set(vals):
-            assert got[lang, v] == pytest.approx((sum(x <= v for x in vals) / len(vals), sum(x >= v for x in vals) / len(vals)))
+    rows = [(i, r.choice(["en", "de"]), round(r.choice([0.0, 0.25, r.random()]), 3), r.random() < 0.6) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id int, language string, x double, ok boolean")
+    got = {(t.language, t.value): (t.upto, t.beyond, t.total) for t in quality.tail_table(df, ("x",), F.col("ok"), partitions=7).collect()}
+    for lang in ("en", "de", quality.ALL):
+        every = {x for _, k, x, _ in rows if lang in (k, quality.ALL)}
+        vals = [x for _, k, x, ok in rows if ok and lang in (k, quality.ALL)]
+        assert {v: got[lang, v] for v in every} == {v: (sum(x <= v for x in vals), sum(x >= v for x in vals), len(vals)) for v in every}
+    assert len(got) == sum(len({x for _, k, x, _ in rows if lang in (k, quality.ALL)}) for lang in ("en", "de", quality.ALL))
