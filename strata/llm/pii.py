@@ -8,6 +8,16 @@ what it has found and gives a span or nothing. Kinds are settled in
 the order email, id_number, phone, address, person, so that a name inside a
 mailbox or a street is none and a part number is no phone.
 
+What is found is checked: a mailbox is bounded by the lengths mail allows (64 and
+255 characters), which also bounds every scan, so a blob of any length costs
+linear time; a US number has no area 000 or 666 and no group or serial of zeros;
+a Spanish number without a cue must have the right letter. Numbers after a cue
+keep their place even with a wrong letter, since people mistype them. Bank
+accounts are no identity numbers and have no kind.
+
+Names are found by a given name of :data:`GIVEN`, by a title, or by words that
+introduce one (:data:`INTRODUCING`), whatever the given name is.
+
 Defined cases: null and empty texts have no spans; spans of a text don't overlap;
 a text of any length is read whole; texts without anchors cost one automaton
 pass; other columns are kept out of the way by naming the outputs here.
@@ -15,7 +25,7 @@ pass; other columns are kept out of the way by naming the outputs here.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -38,6 +48,8 @@ petra pierre piotr priya quentin rafael ravi rosa ruth samir samuel sara sofia s
 viggo walter wanda wei xenia yara yusuf zoe zoltan
 """.split()
 TITLES = ("mr", "mrs", "ms", "miss", "dr", "prof", "sir", "herr", "frau", "madame", "señor", "señora", "mx")
+#: what a name of any kind follows
+INTRODUCING = ("my name is", "mein name ist", "ich heiße", "ich heisse", "je m'appelle", "je m’appelle", "me llamo", "mi nombre es", "name:", "regards,", "sincerely,", "signed,", "grüße,", "cordialement,", "saludos,", "dear")
 _PARTICLE = r"(?:(?:van der|van den|van de|van|von der|von|zu|de la|de los|de|del|della|di|da|dos|du|le|la|bin|ibn|ben|ter|ten)\s+)"
 _NAME = r"(?:(?:[Aa][Ll]|[Ee][Ll])-)?(?:[OoDd]['’])?\p{L}[\p{L}'’]*(?:-\p{L}[\p{L}'’]*)*"
 #: what follows a name that belongs to something else
@@ -49,6 +61,8 @@ here him his how i if in into is it its just know knows last left less let like
 please put said saw say says street road lane avenue court square labs foods works studios partners holdings systems sent she should so some still such take takes than thanks that the their them then there these they this those to told too until up us use uses very via wants was we
 well went were what when where which while who why will wins with works would wrote yes yet you your und der die das ist hat mit von le la les et est qui avec el los y es con por para que speaking
 """.split())
+#: words of places and firms
+_NO_NAME = PLAIN | frozenset("port new upper saint san lower bad team all sir madam colleague colleagues customer customers everyone friends".split())
 _TLD = "com|org|net|edu|gov|int|info|biz|name|example|test|invalid|localhost|local|io|co|ai|app|dev|me|tv|cc|eu|uk|us|de|fr|es|it|nl|be|ch|at|se|no|dk|fi|pl|pt|cz|gr|ie|ru|tr|in|jp|cn|kr|br|mx|ca|au|nz|za"
 
 # street words of parsers and anchors alike: after a number and a name, after a number, ending or following a name, before a name
@@ -86,6 +100,8 @@ def _patterns() -> dict:
     cue = rf"(?:{'|'.join(re.escape(head) + tail for head, tail in _CUES)})"
     return {
         "email": re.compile(rf"(?:mailto:)?(?P<local>{atom}(?:{dot}{atom})*)(?P<at>{at})(?P<host>{label}(?:{dot}{label})*{dot}(?P<tld>\p{{L}}{{2,}}))\b", flags),
+        "introduced": re.compile(rf"\s+(?P<name>(?-i:\p{{Lu}})[\p{{L}}'’\-]+(?:\s+\p{{L}}\.)?(?:\s+{_PARTICLE}?(?-i:\p{{Lu}})[\p{{L}}'’\-]{{2,}}){{1,2}})(?!\s+(?-i:\p{{Lu}})\p{{L}})", flags),
+        "dni": re.compile(r"(?<![\w\-./+])(?:\d{8}|[XYZ]-?\d{7})-?[A-Z](?![\w\-/]|\.\d)"),
         "before_at": re.compile(rf"(?r)(?:mailto:)?{atom}(?:{dot}{atom})*\s*[\[({{]?\s*", flags),
         "chunks": re.compile(r"(?r)(?:\S+\s+){1,8}"),
         "cued_id": re.compile(rf"\b{cue}\s*(?:is|was|number|no\.?|nr\.?|:|=|#)*\s*(?P<v>(?=[A-Z\d \-.]*\d)[A-Z]{{0,3}}[ \-.]?(?:[A-Z\d]*\d[A-Z\d]*)(?:[ \-.][A-Z\d]*\d[A-Z\d]*)*(?:[ \-]?[A-Z]\b)?)", flags),
@@ -130,6 +146,7 @@ def _automaton():
     add("named", *_STREETS_DE)
     add("leading", *_STREETS_ES)
     add("person", *GIVEN, *TITLES)
+    add("introducing", *INTRODUCING)
     for w, kinds in cues.items():
         a.add_word(w, (frozenset(kinds), w))
     a.make_automaton()
@@ -148,8 +165,19 @@ def _flat(text: str) -> str:
     return flat if len(flat) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text.translate(_fold_table()))
 
 
-def _overlaps(spans: list[tuple[int, int, str]], a: int, b: int) -> bool:
-    return any(a < e and s < b for s, e, _ in spans)
+#: what looked like a number of a kind and failed its check is no other kind either
+_REFUSED = ""
+
+
+class _Spans(list):
+    """Disjoint (start, end, kind) in order of place."""
+
+    def add(self, a: int, b: int, kind: str) -> None:
+        insort(self, (a, b, kind))
+
+    def overlaps(self, a: int, b: int) -> bool:
+        at = bisect_left(self, (b,))
+        return bool(at) and self[at - 1][1] > a
 
 
 def _email_ok(m, text: str) -> bool:
@@ -195,18 +223,36 @@ def _from(pattern, text: str, starts) -> Iterator:
             done = m.end()
 
 
+#: no part of a mailbox or of its disguise lies further from its anchor than this
+_REACH = 64 + 255
+
+
 def _emails(text: str, hits: list[tuple[int, int]], p: dict) -> Iterator:
     """From each at-sign or its disguise to the left over the mailbox, then to the right over the host."""
     done = 0
     for a, b in hits:
         if a < done or (text[a].isalpha() and not (a and b < len(text) and (text[a - 1].isspace() or text[a - 1] in "[({") and (text[b].isspace() or text[b] in "])}"))):
             continue
-        left = p["before_at"].match(text, done, a)
-        if left and (m := p["email"].match(text, left.start())):
+        left = p["before_at"].match(text, max(done, a - _REACH), a)
+        if left and (m := p["email"].match(text, left.start(), b + _REACH)) and m.start("at") <= a < m.end("at") and _email_ok(m, text):
             yield m
             done = m.end()
 
 
+def _id_ok(found: str) -> bool:
+    """What the authority that gave a number rules out."""
+    digits = "".join(c for c in found if c.isdigit())
+    if len(digits) == 9 and not any(c.isalpha() for c in found):
+        return digits[:3] not in ("000", "666") and digits[3:5] != "00" and digits[5:] != "0000"
+    return True
+
+
+def _dni_ok(found: str) -> bool:
+    body = found.replace("-", "").upper()
+    number = int({"X": "0", "Y": "1", "Z": "2"}.get(body[0], body[0]) + body[1:-1])
+    return body[-1] == "TRWAGMYFPDXBNJZSQVHLCKE"[number % 23]
+
+
 def _cue_starts(flat: str, hits: list[tuple[int, int]]) -> list[int]:
     return [a for a, _ in hits if not (a and (flat[a - 1].isalnum() or flat[a - 1] == "_"))]
 
@@ -250,6 +296,7 @@ def _matches(text: str, flat: str, hits: dict[str, list[tuple[int, int]]], p: di
         if "id" in hits:
             yield "cued_id", _from(p["cued_id"], text, _cue_starts(flat, hits["id"]))
         yield "bare_id", _from(p["bare_id"], text, _id_starts(text, runs))
+        yield "dni", _from(p["dni"], text, _id_starts(text, runs) + [r - 1 for r in runs if r and text[r - 1].isalpha()])
         yield "phone", _from(p["phone"], text, _phone_starts(text, runs))
         yield "address", _from(p["address"], text, _street_starts(text, flat, hits, runs, p))
 
@@ -262,27 +309,32 @@ def find_spans(text: str) -> list[tuple[int, int, str]]:
     if not hits:
         return []
     p = _patterns()
-    spans: list[tuple[int, int, str]] = []
+    spans = _Spans()
     for name, found in _matches(text, flat, hits, p):
         for m in found:
             if name == "email":
-                if _email_ok(m, text):
-                    spans.append((m.start(), m.end(), "email"))
+                spans.add(m.start(), m.end(), "email")
             elif name == "cued_id":
-                if sum(c.isdigit() for c in m["v"]) >= 4 and not _overlaps(spans, *m.span("v")):
-                    spans.append((*m.span("v"), "id_number"))
-            elif _overlaps(spans, *m.span()):
+                if sum(c.isdigit() for c in m["v"]) >= 4 and not spans.overlaps(*m.span("v")):
+                    spans.add(*m.span("v"), "id_number" if _id_ok(m["v"]) else _REFUSED)
+            elif spans.overlaps(*m.span()):
                 continue
             elif name == "address":
-                spans.append((m.start(), m.end(), "address"))
-            elif not p["not_number"].search(text, max(0, m.start() - 24), m.start()) and (name == "bare_id" or 8 <= sum(c.isdigit() for c in m[0]) <= 19):
-                spans.append((m.start(), m.end(), "phone" if name == "phone" else "id_number"))
+                spans.add(m.start(), m.end(), "address")
+            elif name == "dni" and not _dni_ok(m[0]) or name == "bare_id" and not _id_ok(m[0]):
+                spans.add(m.start(), m.end(), _REFUSED)
+            elif not p["not_number"].search(text, max(0, m.start() - 24), m.start()) and (name != "phone" or 8 <= sum(c.isdigit() for c in m[0]) <= 19):
+                spans.add(m.start(), m.end(), "phone" if name == "phone" else "id_number")
     if "person" in hits:
         _persons(text, flat, hits["person"], spans, p)
-    return sorted(spans)
+    for a, b in hits.get("introducing", ()):
+        m = None if a and flat[a - 1].isalnum() else p["introduced"].match(text, b)
+        if m and not spans.overlaps(*m.span("name")) and not p["after"].match(text, m.end()) and not _NO_NAME & {w.lower() for w in m["name"].split()}:
+            spans.add(*m.span("name"), "person")
+    return [x for x in spans if x[2] != _REFUSED]
 
 
-def _persons(text: str, flat: str, names: list[tuple[int, int]], spans: list[tuple[int, int, str]], p: dict) -> None:
+def _persons(text: str, flat: str, names: list[tuple[int, int]], spans: _Spans, p: dict) -> None:
     done = -1
     for a, b in sorted(names, key=lambda x: (x[0], -x[1])):
         if a < done or (a and (flat[a - 1].isalnum() or flat[a - 1] in "@_")) or (b < len(flat) and (flat[b].isalnum() or flat[b] in "@_")):
@@ -314,9 +366,9 @@ def _persons(text: str, flat: str, names: list[tuple[int, int]], spans: list[tup
                 continue
         else:
             end = family
-        if _overlaps(spans, start, end) or p["after"].match(text, end):
+        if spans.overlaps(start, end) or p["after"].match(text, end):
             continue
-        spans.append((start, end, "person"))
+        spans.add(start, end, "person")
         done = end
 
 

@@ -216,8 +216,36 @@ def test_every_word_of_a_parser_is_an_anchor(text, kinds):
 def test_anchors_lose_nothing_of_whole_text_search(text):
     flat, p = pii._flat(text), pii._patterns()
     found = {name: [m.span() for m in ms] for name, ms in pii._matches(text, flat, pii._anchors(flat), p)}
-    for name in ("email", "cued_id", "bare_id", "phone", "address"):
+    for name in ("cued_id", "bare_id", "phone", "address"):
         assert found.get(name, []) == [m.span() for m in p[name].finditer(text)]
+    mails = found.get("email", [])
+    assert all(any(a < m.end() and m.start() < b for a, b in mails) for m in p["email"].finditer(text) if pii._email_ok(m, text))
+
+
+@pytest.mark.parametrize(
+    "text,kinds",
+    [
+        ("reach me at ana.kel@mail.example or Ada Kelmor at x.y@z.example", ["email", "person", "email"]), ("SSN 000-12-3456, SSN 666-12-3456, SSN 123-00-3456 or 123-45-0000", []), ("123-45-6789", ["id_number"]),
+        ("12345678Z or 12345678A, X1234567L", ["id_number", "id_number"]), ("DNI 12345678A", ["id_number"]), ("My name is Ximena Duarte and I moved", ["person"]), ("Regards, Haruto Sato\nKelqui Foods", ["person"]),
+        ("Name: Bogdan Kowalczyk | Tel", ["person"]), ("Name: Kelqui Foods | Dear Customer Service, dear New York", []), ("Dear Team Lead Kelmor Braun", []), ("Dear Port Kelmor", []),
+    ],
+)
+def test_checks_and_introduced_names(text, kinds):
+    assert [k for *_, k in pii.find_spans(text)] == kinds
+
+
+@pytest.mark.parametrize("part", ["a", "a.", "a@", "1", "1 ", "x y@", "12 Maple ", "rosa ", "Rosa Merov ", "Calle a ", "ssn ", "at dot ", "my name is A", "+1 "])
+def test_a_blob_takes_linear_time(part):
+    import time
+
+    def took(n):
+        text = part * (n // len(part)) + " @ b"
+        t = time.process_time()
+        pii.find_spans(text)
+        return time.process_time() - t
+
+    took(1000)
+    assert took(80_000) < 16 * max(took(20_000), 0.05)
 
 
 @settings(max_examples=150, deadline=None)
