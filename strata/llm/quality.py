@@ -62,7 +62,7 @@ BROADCAST_ROWS = 50_000
 #: stands for the whole corpus among the languages
 ALL = "*"
 #: least scores of a kind
-LIST_PLAIN, LIST_MARKED, TABLE, JUNK = 3.0, 2.3, 3.5, 3.9
+LIST_PLAIN, LIST_MARKED, TABLE, JUNK = 3.3, 2.3, 2.9, 3.5
 
 _LINE = r"(?m)^[^\n]*\S[^\n]*$"
 _MARKED = r"(?m)^[ \t]*(?:[-*•–—·+◦▪‣→>☐☑✓]|\d{1,3}[.)]|\(?[a-zA-Z]\)|\(\d{1,3}\)|\[[ xX]?\])[ \t]+\S[^\n]*$"
@@ -222,7 +222,7 @@ def kind_of() -> Column:
     """list, table, junk or null (prose) of a scored document: the scores decide whether it is one at all."""
     c = F.col
     several, short_words = c("lines") >= 2, c("words") >= c("lines") * 0.5
-    cells = several & (c("cell_share") >= 0.75) & (c("tag_share") < 0.16) & (c("clash_share") < 0.3) & (c("symbol_ratio") < 0.85)
+    cells = several & (c("cell_share") >= 0.75) & (c("sentence_chars") < 0.6) & (c("tag_share") < 0.16) & (c("clash_share") < 0.3) & (c("symbol_ratio") < 0.85)
     marks = several & (c("marked_share") >= 0.6) & (c("marked_chars") >= 0.6) & (c("clash_share") < 0.3) & short_words
     items = several & (c("short_share") >= 0.75) & (c("letter_share") >= 0.45) & (c("longest") < 60) & (c("clash_share") < 0.2) & short_words & (c("unique") > 3)
     strange = ((c("e_common_share") >= 0.9) & (c("common_share") < 0.1)) | (c("e_letter_share") >= 0.95) | (c("tag_share") > 0.16) | (c("clash_share") > 0.25) | (c("unique") <= 3)
