@@ -68,11 +68,20 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode_ids(read_table(spark, sf_dir, "documents"))
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("cluster", F.when(F.length("text") > 0, F.xxhash64("text")).otherwise(0))
+    return cut(encode.count_tokens(docs, extra=("source", "cluster")).select(F.col("doc_id").alias("item"), F.col("tokens").alias("size"), "source", "cluster"), "sizes")
+
+
 def p9_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, measured in tokens, in containers of each capacity."""
-    docs = read_table(spark, sf_dir, "documents").withColumn("cluster", F.when(F.length("text") > 0, F.xxhash64("text")).otherwise(0))
-    items = cut(encode.count_tokens(docs, extra=("source", "cluster")).select(F.col("doc_id").alias("item"), F.col("tokens").alias("size"), "source", "cluster"), "sizes")
-    return packing.pack(items, read_table(spark, sf_dir, "token_budgets"))
+    return packing.pack(_sizes(spark, sf_dir), read_table(spark, sf_dir, "token_budgets")).drop("source", "cluster")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the packing loses, overfills and crowds with copies: nothing."""
+    items, budgets = _sizes(spark, sf_dir), read_table(spark, sf_dir, "token_budgets")
+    return packing.report(cut(packing.pack(items, budgets), "bins"), items, budgets)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,14 +103,15 @@ def p10_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p4_gathered": p4_gathered, "p6_found": p6_found, "p6_redacted": p6_redacted,
-        "p8_ids": p8_ids, "p9_bins": p9_bins, "p10_found": p10_found, "p10_scores": p10_scores, "p10_ranks": p10_ranks,
+        "p8_ids": p8_ids, "p9_bins": p9_bins, "p9_report": p9_report, "p10_found": p10_found, "p10_scores": p10_scores, "p10_ranks": p10_ranks,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p10_ranks": P10_RANKS_SQL}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p10_ranks": P10_RANKS_SQL, "p9_report": P9_REPORT_SQL}
 
 
+P9_REPORT_SQL = "SELECT budget_id, (SELECT count(*) FROM documents) AS items, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS crowded FROM token_budgets WHERE capacity >= 1"
 P10_RANKS_SQL = """
 WITH d AS (SELECT coalesce(lang, 'xx') AS language, n_chars AS v FROM documents WHERE n_chars IS NOT NULL),
 g AS (SELECT language, v, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT '*', v, count(*) FROM d GROUP BY ALL)

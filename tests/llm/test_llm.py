@@ -313,13 +313,32 @@ def test_packing(spark):
         least = -(-sum(s for _, s, *_ in items) // cap)
         assert len(fill) <= 1.25 * least + 2
     assert {x.budget_id for x in rows} == {1, 2}
+    told = packing.report(packing.pack(df, budgets), df, budgets).collect()
+    assert {(x.budget_id, x.items, x.lost, x.over, x.crowded) for x in told} == {(1, 900, 0, 0, 0), (2, 900, 0, 0, 0)}
     assert packing.pack(df.limit(0), budgets).count() == 0
 
 
 def test_best_fit_prefers_compatible_bins():
     assert packing.best_fit([60, 50, 40, 40], [0, 1, 0, 2], [7, 8, 7, 9], 100) == [0, 1, 1, 0]
+    # two copies and room for one bin: they share it; two bins of other items: one copy each
     assert packing.best_fit([50, 50], [0, 0], [7, 7], 100) == [0, 0]
     assert packing.best_fit([50, 50], [0, 0], [7, 7], 100, strict=True) == [0, 1]
+    assert packing.best_fit([90, 80, 10, 10], [0, 0, 0, 0], [0, 0, 7, 7], 100) == [0, 1, 0, 1]
+    # more copies than bins: spread over the bins first
+    assert packing.best_fit([90, 70, 10, 10, 10], [0, 0, 0, 0, 0], [0, 0, 7, 7, 7], 100) == [0, 1, 0, 1, 1]
+
+
+@pytest.mark.parametrize("cluster", [0, 7])
+def test_a_hot_cluster_costs_one_walk(cluster):
+    import time
+
+    def took(n):
+        t = time.process_time()
+        packing.best_fit([60] * n + [5] * n, [0] * (2 * n), [0] * n + [cluster] * n, 100)
+        return time.process_time() - t
+
+    took(100)
+    assert took(16_000) < 12 * max(took(4_000), 0.02)
 
 
 def test_a_bin_without_the_source_is_found_however_far():
