@@ -176,15 +176,18 @@ def pack(items: DataFrame, budgets: DataFrame, strict: bool = False) -> DataFram
 
 def report(packed: DataFrame, items: DataFrame, budgets: DataFrame) -> DataFrame:
     """(budget_id, items, lost, over, crowded) of a packing: items asked for, items or tokens missing, bins beyond the
-    capacity, and bins that hold a text twice though there are more bins than copies of it."""
+    capacity, and bins that hold a text twice though their shard needs as many bins as it has copies of it."""
     caps = F.broadcast(budgets.where("capacity >= 1").select("budget_id", "capacity").distinct())
     asked = items.agg(F.count(F.lit(1)).alias("items"), F.sum("size").alias("tokens"))
     parts = packed.groupBy("budget_id", "item").agg(F.sum("size").alias("size")).groupBy("budget_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("t"))
     bins = packed.groupBy("budget_id", "bin_id").agg(F.sum("size").alias("size")).join(caps, "budget_id")
-    full = bins.groupBy("budget_id").agg(F.count(F.lit(1)).alias("bins"), F.count_if(F.col("size") > F.col("capacity")).alias("over"))
-    twice = packed.where("cluster <> 0").groupBy("budget_id", "cluster", "bin_id").agg(F.count(F.lit(1)).alias("k"))
-    twice = twice.groupBy("budget_id", "cluster").agg(F.sum("k").alias("copies"), F.count_if(F.col("k") > 1).alias("crowded"))
-    crowded = twice.join(F.broadcast(full), "budget_id").where("copies <= bins").groupBy("budget_id").agg(F.sum("crowded").alias("crowded"))
+    full = bins.groupBy("budget_id").agg(F.count_if(F.col("size") > F.col("capacity")).alias("over"))
+    # a shard of a round is packed on its own, so its bins are what copies can be kept apart in
+    own = packed.withColumn("shard", F.regexp_extract("bin_id", r"^\d+-\d+-\d+", 0)).where("shard <> ''")
+    least = own.groupBy("budget_id", "shard").agg(F.sum("size").alias("t")).join(caps, "budget_id").select("budget_id", "shard", F.ceil(F.col("t") / F.col("capacity")).alias("least"))
+    twice = own.where("cluster <> 0").groupBy("budget_id", "shard", "cluster", "bin_id").agg(F.count(F.lit(1)).alias("k"))
+    twice = twice.groupBy("budget_id", "shard", "cluster").agg(F.sum("k").alias("copies"), F.count_if(F.col("k") > 1).alias("crowded"))
+    crowded = twice.join(least, ["budget_id", "shard"]).where("copies <= least").groupBy("budget_id").agg(F.sum("crowded").alias("crowded"))
     j = caps.join(F.broadcast(asked), F.lit(True)).join(parts, "budget_id", "left").join(full, "budget_id", "left").join(crowded, "budget_id", "left")
     lost = F.col("items") - F.coalesce("n", F.lit(0)) + F.coalesce("tokens", F.lit(0)) - F.coalesce("t", F.lit(0))
     return j.select("budget_id", "items", lost.cast("bigint").alias("lost"), F.coalesce("over", F.lit(0)).alias("over"), F.coalesce("crowded", F.lit(0)).cast("bigint").alias("crowded"))
