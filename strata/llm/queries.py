@@ -45,6 +45,16 @@ def p4_gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.gathered(read_table(spark, sf_dir, "facts").where(F.col("predicate").isin(*REPEATED)))
 
 
+def p4_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transitions the currency reasoning learns from, and which of them are precedences."""
+    return survivors.precedence(survivors.transitions(read_table(spark, sf_dir, "facts").where(F.col("predicate").isin(*REPEATED))))
+
+
+def p4_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest value of the fields that change, per group, and what settled it."""
+    return survivors.latest_values(read_table(spark, sf_dir, "facts").where(F.col("predicate").isin(*REPEATED)))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, rec, text) of the utterances and of the turns in the payloads."""
     said = read_table(spark, sf_dir, "utterances").select(F.lit("utterances").alias("src"), F.col("id").alias("rec"), "text")
@@ -102,13 +112,13 @@ def p10_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p4_gathered": p4_gathered, "p6_found": p6_found, "p6_redacted": p6_redacted,
+        "p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_records": p4_records, "p4_gathered": p4_gathered, "p4_order": p4_order, "p4_latest": p4_latest, "p6_found": p6_found, "p6_redacted": p6_redacted,
         "p8_ids": p8_ids, "p9_bins": p9_bins, "p9_report": p9_report, "p10_found": p10_found, "p10_scores": p10_scores, "p10_ranks": p10_ranks,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p10_ranks": P10_RANKS_SQL, "p9_report": P9_REPORT_SQL}
+    return {"p1_found": P1_SQL, "p4_found": P4_SQL, "p4_gathered": P4_GATHERED_SQL, "p4_order": P4_ORDER_SQL, "p4_latest": P4_LATEST_SQL, "p10_ranks": P10_RANKS_SQL, "p9_report": P9_REPORT_SQL}
 
 
 P9_REPORT_SQL = "SELECT budget_id, (SELECT count(*) FROM documents) AS items, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS crowded FROM token_budgets WHERE capacity >= 1"
@@ -154,3 +164,35 @@ s AS (SELECT subject, predicate, polarity, k, CAST(count(DISTINCT x) AS INTEGER)
 SELECT group_id, survivor_id, evidence_id, n_members, coalesce(m, 0) AS n_sources
 FROM g LEFT JOIN s USING (subject, predicate, polarity, k)
 """
+_GROUPED = r"""f AS (
+  SELECT DISTINCT id, subject, predicate, polarity, valid_from, source_sessions, evidence, qualifier, extraction_method,
+    replace(regexp_replace(trim(regexp_replace(lower(strip_accents(object)), '[^\p{L}\p{N}]+', ' ', 'g')), '^(a|an|the)\s+', ''), ' ', '') AS k
+  FROM facts WHERE predicate IN ('likes','has','learning','allergic_to') AND subject IS NOT NULL AND polarity IS NOT NULL),
+g AS (SELECT subject, predicate, polarity, k, min(id) AS group_id FROM f WHERE k <> '' GROUP BY ALL HAVING count(DISTINCT id) > 1)"""
+P4_GATHERED_SQL = f"""WITH {_GROUPED}
+SELECT DISTINCT group_id, 'source_sessions' AS field, s AS value FROM (SELECT subject, predicate, polarity, k, unnest(source_sessions) AS s FROM f) JOIN g USING (subject, predicate, polarity, k) WHERE s IS NOT NULL
+UNION ALL SELECT DISTINCT group_id, 'evidence', evidence FROM f JOIN g USING (subject, predicate, polarity, k) WHERE trim(evidence) <> ''
+"""
+_FIELDS = "(SELECT *, 'qualifier' AS field, qualifier AS v FROM {0} WHERE trim(qualifier) <> '' UNION ALL SELECT *, 'extraction_method', extraction_method FROM {0} WHERE trim(extraction_method) <> '')"
+_ORDER = """t AS (
+  SELECT field, v AS earlier, w AS later, count(*) AS n FROM (
+    SELECT field, v, lead(v) OVER (PARTITION BY field, subject, predicate ORDER BY valid_from, id) AS w
+    FROM (SELECT DISTINCT subject, predicate, id, valid_from, field, v FROM {0} WHERE valid_from IS NOT NULL))
+  WHERE v <> w GROUP BY ALL),
+o AS (
+  SELECT t.field, t.earlier, t.later, t.n, coalesce(b.n, 0) AS back, t.n >= 3 AND t.n - coalesce(b.n, 0) >= 2.0 * sqrt(t.n + coalesce(b.n, 0)) AS precedes
+  FROM t LEFT JOIN t b ON b.field = t.field AND b.earlier = t.later AND b.later = t.earlier)"""
+_REPEATED = "(SELECT * FROM facts WHERE predicate IN ('likes','has','learning','allergic_to'))"
+P4_ORDER_SQL = f"WITH {_ORDER.format(_FIELDS.format(_REPEATED))} SELECT * FROM o"
+P4_LATEST_SQL = f"""WITH RECURSIVE {_ORDER.format(_FIELDS.format(_REPEATED))}, {_GROUPED},
+p AS (SELECT field, earlier, later FROM o WHERE precedes UNION SELECT p.field, p.earlier, o.later FROM p JOIN o ON o.field = p.field AND o.earlier = p.later AND o.precedes),
+c AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.field = p.field AND q.earlier = p.later AND q.later = p.earlier)),
+m AS (SELECT group_id, field, v, id, valid_from FROM {_FIELDS.format('f')} JOIN g USING (subject, predicate, polarity, k)),
+d AS (SELECT group_id, field, arg_max(v, (valid_from, id)) AS dated FROM m WHERE valid_from IS NOT NULL GROUP BY ALL),
+u AS (SELECT group_id, field, v, count(DISTINCT id) AS rows FROM m WHERE valid_from IS NULL GROUP BY ALL),
+a AS (SELECT u.*, d.dated FROM u LEFT JOIN d USING (group_id, field) WHERE d.dated IS NULL OR EXISTS (SELECT 1 FROM c WHERE c.field = u.field AND c.earlier = d.dated AND c.later = u.v)),
+b AS (SELECT a.*, EXISTS (SELECT 1 FROM c JOIN a x ON x.v = c.later WHERE c.field = a.field AND c.earlier = a.v AND x.field = a.field AND x.group_id = a.group_id) AS below FROM a),
+s AS (SELECT group_id, field, arg_min(v, (-rows, v)) FILTER (NOT below) AS top, bool_or(below) AS ordered FROM b GROUP BY ALL)
+SELECT group_id, field, coalesce(top, dated) AS value, CASE WHEN top IS NULL THEN 'date' WHEN dated IS NOT NULL OR ordered THEN 'order' ELSE 'rows' END AS decided
+FROM d FULL JOIN s USING (group_id, field)
+"""

@@ -32,6 +32,9 @@ from strata.session import cut
 KEY = ("subject", "predicate", "polarity", "key")
 #: fields of the built record that come from the best-ranked member that has one
 FIELDS = ("object", "confidence", "valid_from")
+#: fields whose value changes with time, and what makes a transition between two values a precedence
+CURRENT = ("qualifier", "extraction_method")
+LEAST, SURE = 3, 2.0
 
 
 def keyed(facts: DataFrame) -> DataFrame:
@@ -73,64 +76,79 @@ def survivors(facts: DataFrame) -> DataFrame:
     return groups.join(sources, list(KEY), "left").select("group_id", "survivor_id", "evidence_id", "n_members", F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
 
 
-def transitions(facts: DataFrame, field: str, chain: tuple[str, ...] = ("subject", "predicate")) -> DataFrame:
-    """(earlier, later, n): how often timestamped rows of a chain go from one value of ``field`` to another.
+def _values(rows: DataFrame, fields: tuple[str, ...], *keep: str) -> DataFrame:
+    """(*keep, field, v): a row per field that has a visible value."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])).alias("f")
+    return rows.select(*keep, each).select(*keep, "f.field", "f.v").where(visible(F.col("v")))
+
+
+def transitions(facts: DataFrame, fields: tuple[str, ...] = CURRENT, chain: tuple[str, ...] = ("subject", "predicate")) -> DataFrame:
+    """(field, earlier, later, n): how often timestamped rows of a chain go from one value of a field to another.
 
     A chain is cut into months, each read in order; a month's last value is
     followed by the next month's first, so no chain is ever in one task.
     """
-    rows = facts.where(F.col("valid_from").isNotNull() & F.col(field).isNotNull()).select(*chain, "id", F.col("valid_from").alias("at"), F.col(field).cast("string").alias("v")).distinct().withColumn("block", F.date_trunc("month", "at"))
-    w = Window.partitionBy(*chain, "block").orderBy("at", "id")
-    inside = rows.select("v", F.lead("v").over(w).alias("w")).where("w is not null")
-    edge = rows.groupBy(*chain, "block").agg(F.min(F.struct("at", "id", "v")).getField("v").alias("first"), F.max(F.struct("at", "id", "v")).getField("v").alias("last"))
-    across = edge.select(F.col("last").alias("v"), F.lead("first").over(Window.partitionBy(*chain).orderBy("block")).alias("w")).where("w is not null")
-    return inside.unionByName(across).where("v <> w").groupBy(F.col("v").alias("earlier"), F.col("w").alias("later")).agg(F.count(F.lit(1)).alias("n"))
+    rows = _values(facts.where("valid_from is not null"), fields, *chain, "id", "valid_from").withColumnRenamed("valid_from", "at").distinct().withColumn("block", F.date_trunc("month", "at"))
+    key = ["field", *chain]
+    w = Window.partitionBy(*key, "block").orderBy("at", "id")
+    inside = rows.select("field", "v", F.lead("v").over(w).alias("w")).where("w is not null")
+    edge = rows.groupBy(*key, "block").agg(F.min(F.struct("at", "id", "v")).getField("v").alias("first"), F.max(F.struct("at", "id", "v")).getField("v").alias("last"))
+    across = edge.select("field", F.col("last").alias("v"), F.lead("first").over(Window.partitionBy(*key).orderBy("block")).alias("w")).where("w is not null")
+    return inside.unionByName(across).where("v <> w").groupBy("field", F.col("v").alias("earlier"), F.col("w").alias("later")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def precedence(trans: DataFrame, least: int = 3, share: float = 0.6) -> DataFrame:
-    """The transitions that hold clearly more often than their reverse: a partial order's edges."""
-    back = trans.select(F.col("earlier").alias("later"), F.col("later").alias("earlier"), F.col("n").alias("m"))
-    joined = trans.join(back, ["earlier", "later"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    return joined.where((F.col("n") >= least) & (F.col("n") >= share * (F.col("n") + F.col("m")))).select("earlier", "later")
+def precedence(trans: DataFrame, least: int = LEAST, sure: float = SURE) -> DataFrame:
+    """Transitions with ``back``, how often the reverse occurs, and ``precedes``: seen ``least`` times and more often
+    than its reverse by ``sure`` standard deviations of a fair coin."""
+    back = trans.select("field", F.col("earlier").alias("later"), F.col("later").alias("earlier"), F.col("n").alias("back"))
+    j = trans.join(back, ["field", "earlier", "later"], "left").withColumn("back", F.coalesce("back", F.lit(0).cast("bigint")))
+    return j.withColumn("precedes", (F.col("n") >= least) & (F.col("n") - F.col("back") >= sure * F.sqrt(F.col("n") + F.col("back"))))
 
 
 def closed(edges: DataFrame) -> DataFrame:
-    """(earlier, later) for every pair joined by a path of edges, paths doubling in length each round;
+    """(field, earlier, later) for every pair joined by a path of edges, paths doubling in length each round;
     values that precede each other (a cycle) contradict themselves and are left unordered."""
-    reach, n = cut(edges.distinct(), "precedence"), -1
+    reach, n = cut(edges.select("field", "earlier", "later").distinct(), "precedence"), -1
     while n != (n := reach.count()):
-        longer = reach.select("earlier", F.col("later").alias("mid")).join(reach.select(F.col("earlier").alias("mid"), "later"), "mid").select("earlier", "later")
+        longer = reach.select("field", "earlier", F.col("later").alias("mid")).join(reach.select("field", F.col("earlier").alias("mid"), "later"), ["field", "mid"]).select("field", "earlier", "later")
         reach = cut(reach.unionByName(longer).distinct(), "precedence")
-    return reach.join(reach.select(F.col("later").alias("earlier"), F.col("earlier").alias("later")), ["earlier", "later"], "left_anti")
-
-
-def latest_values(facts: DataFrame, field: str, least: int = 3, share: float = 0.6) -> DataFrame:
-    """(group_id, value) of ``field`` per group: the newest timestamped value, unless values without
-    a timestamp follow it in the learned order, which is transitive; then, or if no row has a timestamp,
-    what no other such value follows: among several tops the one with the most rows, then the smallest."""
-    order = closed(precedence(transitions(facts, field), least, share))
-    rows = keyed(facts).where(F.col(field).isNotNull()).select(*KEY, "id", "valid_from", F.col(field).cast("string").alias("v"))
-    groups = keyed(facts).groupBy(*KEY).agg(F.min("id").alias("group_id"), F.countDistinct("id").alias("n")).where("n > 1").drop("n")
-    newest = rows.where("valid_from is not null").groupBy(*KEY).agg(F.max(F.struct("valid_from", "id", "v")).getField("v").alias("dated"))
-    undated = rows.where("valid_from is null").groupBy(*KEY, "v").agg(F.countDistinct("id").alias("rows")).join(newest, list(KEY), "left")
-    follows = undated.where("dated is not null").join(order.select(F.col("earlier").alias("dated"), F.col("later").alias("v")), ["dated", "v"], "left_semi")
-    cand = undated.where("dated is null").unionByName(follows).select(*KEY, "v", "rows")
-    beaten = cand.join(cand.select(*KEY, F.col("v").alias("later")), list(KEY)).join(order.withColumnRenamed("earlier", "v"), ["v", "later"], "left_semi").select(*KEY, "v").distinct()
+    return reach.join(reach.select("field", F.col("later").alias("earlier"), F.col("earlier").alias("later")), ["field", "earlier", "later"], "left_anti")
+
+
+def latest_values(facts: DataFrame, fields: tuple[str, ...] = CURRENT, least: int = LEAST, sure: float = SURE) -> DataFrame:
+    """(group_id, field, value, decided) per group: the newest timestamped value, unless values without a timestamp
+    follow it in the learned order, which is transitive; then, or if no row has a timestamp, what no other such value
+    follows: among several tops the one with the most rows, then the smallest. ``decided`` says what settled it:
+    ``date``, ``order`` or ``rows``."""
+    order = closed(precedence(transitions(facts, fields), least, sure).where("precedes"))
+    key = [*KEY, "field"]
+    rows = _values(keyed(facts), fields, *KEY, "id", "valid_from")
+    groups = keyed(facts).groupBy(*KEY).agg(F.min("id").alias("group_id"), F.max("id").alias("last")).where("group_id <> last").drop("last")
+    newest = rows.where("valid_from is not null").groupBy(*key).agg(F.max(F.struct("valid_from", "id", "v")).getField("v").alias("dated"))
+    undated = rows.where("valid_from is null").groupBy(*key, "v").agg(F.countDistinct("id").alias("rows")).join(newest, key, "left")
+    follows = undated.where("dated is not null").join(order.select("field", F.col("earlier").alias("dated"), F.col("later").alias("v")), ["field", "dated", "v"], "left_semi")
+    cand = undated.where("dated is null").unionByName(follows).select(*key, "v", "rows")
+    # from a value to those that follow it, then whether the group has one: values never meet pair by pair
+    beaten = cand.join(order.withColumnRenamed("earlier", "v"), ["field", "v"]).join(cand.select(*key, F.col("v").alias("later")), [*key, "later"], "left_semi").select(*key, "v").distinct()
     # the order has no cycles, so candidates always leave a top
-    tops = cand.join(beaten, [*KEY, "v"], "left_anti").groupBy(*KEY).agg(F.min(F.struct((-F.col("rows")).alias("r"), "v")).getField("v").alias("top"))
-    best = newest.join(tops, list(KEY), "full").select(*KEY, F.coalesce("top", "dated").alias("value"))
-    return groups.join(best, list(KEY)).select("group_id", "value")
+    tops = cand.join(beaten.withColumn("below", F.lit(True)), [*key, "v"], "left").groupBy(*key).agg(
+        F.min(F.when(F.col("below").isNull(), F.struct((-F.col("rows")).alias("r"), "v"))).getField("v").alias("top"), F.coalesce(F.max("below"), F.lit(False)).alias("ordered")
+    )
+    decided = F.when(F.col("top").isNull(), "date").when(F.col("dated").isNotNull() | F.col("ordered"), "order").otherwise("rows")
+    best = newest.join(tops, key, "full").select(*key, F.coalesce("top", "dated").alias("value"), decided.alias("decided"))
+    return groups.join(best, list(KEY)).select("group_id", "field", "value", "decided")
 
 
 def surviving_records(facts: DataFrame) -> DataFrame:
-    """The built record of each group: each field from the best-ranked member that has it, latest qualifier, gathered sources count."""
+    """The built record of each group: each field from the best-ranked member that has it, the latest value of those
+    that change, gathered sources count."""
     core = survivors(facts)
     rows = keyed(facts).select(*KEY, "id", rank_struct().alias("rank"), *FIELDS, F.when(visible(F.col("evidence")), F.col("evidence")).alias("evidence"))
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("rank", c))).getField(c).alias(c)
     built = rows.groupBy(*KEY).agg(F.min("id").alias("group_id"), *[first(c) for c in (*FIELDS, "evidence")]).drop(*KEY)
-    value = latest_values(facts.withColumn("qualifier", F.when(visible(F.col("qualifier")), F.col("qualifier"))), "qualifier").withColumnRenamed("value", "qualifier")
-    records = core.join(built, "group_id", "left").join(value, "group_id", "left")
-    return records.select("group_id", "evidence_id", "survivor_id", "n_members", "n_sources", *FIELDS, "evidence", "qualifier")
+    values = latest_values(facts).groupBy("group_id").agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f) for f in CURRENT])
+    records = core.join(built, "group_id", "left").join(values, "group_id", "left")
+    return records.select("group_id", "evidence_id", "survivor_id", "n_members", "n_sources", *FIELDS, "evidence", *CURRENT)
 
 
 def gathered(facts: DataFrame) -> DataFrame:

@@ -130,12 +130,16 @@ def test_pigeonhole_finds_all_within_two_edits(spark):
 FACT = "id string, subject string, predicate string, polarity string, object string, confidence double, source_sessions array<string>, valid_from timestamp, evidence string, qualifier string, key string"
 
 
+def facts_of(spark, rows):
+    return spark.createDataFrame(rows, FACT).withColumn("extraction_method", F.lit("rule-based"))
+
+
 def test_survivors(spark):
     rows = [
         ("b", "u", "likes", "positive", "The Tea!", 0.9, ["s1", "s1", None], None, " ", "q1", "k"), ("a", "u", "likes", "positive", "téa", 0.9, ["s2"], T0, "said", None, "k"), ("a", "u", "likes", "positive", "téa", 0.9, ["s2"], T0, "said", None, "k"),
         ("c", "u", "likes", "positive", "TEA", None, None, None, None, "q2", "k"), ("d", "u", "likes", "negative", "tea", 0.9, ["s"], T0, "x", None, "k"), ("e", None, "likes", "positive", "tea", 0.9, ["s"], T0, "x", None, "k"), ("f", "u", "likes", "positive", "!!", 0.9, ["s"], T0, "x", None, "k"), ("g", "u", "likes", "positive", "..", 0.9, ["s"], T0, "x", None, "k"),
     ]
-    df = spark.createDataFrame(rows, FACT)
+    df = facts_of(spark, rows)
     assert [tuple(r) for r in survivors.survivors(df).collect()] == [("a", "a", "a", 3, 2)]
     assert survivors.surviving_records(df).collect()[0].qualifier in ("q1", "q2")
     assert survivors.survivors(df.limit(0)).count() == 0
@@ -146,7 +150,7 @@ def test_records_gather_the_group(spark):
         ("a", "u", "likes", "positive", "tea", 0.9, ["s1", "s2", "s2", None], None, " ", None, ""), ("b", "u", "likes", "positive", "Tea", 0.8, ["s2", "s3"], T0, "second", None, ""), ("b", "u", "likes", "positive", "Tea", 0.8, ["s2", "s3"], T0, "second", None, ""),
         ("c", "u", "likes", "positive", "TEA", None, None, datetime(2026, 1, 1), "third", None, ""), ("d", "u", "likes", "positive", "rye", 0.9, ["s9"], T0, "alone", None, ""), ("d", "u", "likes", "positive", "rye", 0.9, ["s9"], T0, "alone", None, ""),
     ]
-    df = spark.createDataFrame(rows, FACT)
+    df = facts_of(spark, rows)
     got = sorted(tuple(r) for r in survivors.gathered(df).collect())
     assert got == [("a", "evidence", "second"), ("a", "evidence", "third"), *(("a", "source_sessions", s) for s in ("s1", "s2", "s3"))]
     (r,) = survivors.surviving_records(df).collect()
@@ -157,7 +161,7 @@ def test_records_gather_the_group(spark):
 def test_currency_from_learned_order(spark):
     seen = [(f"x{i}{v}", f"u{i}", "has", "positive", "job", 0.5, None, datetime(2025, 1, 1 + 5 * n), None, v, "") for i in range(6) for n, v in enumerate(("junior", "senior"))]
     group = [("p", "z", "has", "positive", "rank", 0.5, None, None, None, "junior", ""), ("q", "z", "has", "positive", "rank", 0.5, None, None, None, "senior", ""), ("r", "z", "has", "positive", "rank", 0.5, None, None, None, "junior", "")]
-    got = {r.group_id: r.value for r in survivors.latest_values(spark.createDataFrame(seen + group, FACT), "qualifier").collect()}
+    got = {r.group_id: r.value for r in survivors.latest_values(facts_of(spark, seen + group), ("qualifier",)).collect()}
     assert got["p"] == "senior"
 
 
@@ -167,14 +171,17 @@ def test_newest_dated_value_yields_only_to_the_learned_order(spark):
 
     day = lambda n: datetime(2025, 1, n)
     steps = (("a", "b"), ("b", "c"), ("x", "y"), ("y", "z"), ("z", "x"))
-    seen = [fact(f"{v}{w}{i}{n}", f"{v}{w}{i}", day(1 + 5 * n), q) for v, w in steps for i in range(3) for n, q in enumerate((v, w))]
+    seen = [fact(f"{v}{w}{i}{n}", f"{v}{w}{i}", day(1 + 5 * n), q) for v, w in steps for i in range(4) for n, q in enumerate((v, w))]
     groups = {
         "unordered": (day(1), "b", "m", "m", "b"), "earlier": (day(1), "c", "a", "a", "c"), "far": (day(1), "a", "c", "m", "c"),
         "cycle": (day(1), "x", "y", "z", "x"), "undated": (None, "a", "c", "a", "c"), "only": (day(1), "b", None, None, "b"),
     }
     rows = [fact(f"{g}{i}", g, at if i == 0 else None, q) for g, (at, *qs, _) in groups.items() for i, q in enumerate(qs)]
-    got = {r.group_id: r.value for r in survivors.latest_values(spark.createDataFrame(seen + rows, FACT), "qualifier").collect()}
+    found = survivors.latest_values(facts_of(spark, seen + rows)).where("field = 'qualifier'").collect()
+    got = {r.group_id: r.value for r in found}
     assert {g: got[f"{g}0"] for g in groups} == {g: want for g, (*_, want) in groups.items()}
+    how = {r.group_id[:-1]: r.decided for r in found}
+    assert {g: how[g] for g in groups} == {"unordered": "date", "earlier": "date", "far": "order", "cycle": "date", "undated": "order", "only": "date"}
 
 
 # ---- personal data -------------------------------------------------------------------------------
