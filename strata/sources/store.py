@@ -40,6 +40,13 @@ class Versions:
     def exists(self) -> bool:
         return self._pointer() > 0
 
+    def subfolders(self, path: str, prefix: str) -> list[int]:
+        """The numbers of the folders ``prefix``N below a path."""
+        if not self._fs.exists(self._p(path)):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._p(path)) if s.isDirectory()]
+        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
+
     @contextmanager
     def next(self) -> Iterator[str]:
         """A folder to write the next version to; committed on leaving without an error.

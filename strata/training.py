@@ -22,8 +22,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     raw = history.raw_changes(read_table(spark, sf_dir, "facts"), SINGLE_VALUED)
     is_late = F.coalesce(F.expr(f"recorded > at + {LATE_AFTER}"), F.lit(False))
-    in_time = raw.where(~is_late)
-    versions = history.rebuild_affected(history.build_chains(in_time), in_time, raw.where(is_late))
+    table = history.HistoryTable(spark)
+    table.load(raw.where(~is_late))
+    table.apply(raw.where(is_late))
+    versions = table.read()
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return versions.select("subject", "predicate", "value", us("valid_from").alias("from_us"), F.coalesce(us("valid_until"), F.lit(-1)).cast("bigint").alias("until_us"))
 

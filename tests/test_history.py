@@ -55,6 +55,13 @@ def test_late_rows_rebuild_only_their_chains(spark):
     assert got == brute(base + late)
 
 
+@pytest.mark.parametrize("blocks", [1, 3, 17])
+def test_a_hot_chain_is_cut_by_rows(spark, blocks):
+    r = random.Random(blocks)
+    rows = [("a", "p", r.choice("xyz"), r.random() < 0.7, DAY0 + timedelta(seconds=i), DAY0) for i in range(400)]
+    assert {tuple(x) for x in H.build_chains(spark.createDataFrame(rows, SCHEMA), blocks).collect()} == brute(rows)
+
+
 def test_edges(spark):
     t = DAY0
     rows = [("a", "p", None, True, t, t), ("a", "p", "x", True, None, t), (None, "p", "x", True, t, t), ("a", "p", "x", False, t, t), ("b", "p", "x", True, t, None), ("b", "p", "x", True, t, None)]
@@ -74,6 +81,11 @@ def test_stored_history_is_replaced_atomically(spark, tmp_path):
     table.load(spark.createDataFrame(rows[:30], SCHEMA))
     table.apply(spark.createDataFrame(rows[30:], SCHEMA))
     assert {tuple(r) for r in table.read().collect()} == brute(rows)
+    before = table.manifest()
+    table.apply(spark.createDataFrame([r for r in rows if r[0] == "a"][:1], SCHEMA))
+    kept = {(w, b, p) for w, b, p in before if w == "chains"} & set(table.manifest())
+    assert len(kept) == len({b for w, b, _ in before if w == "chains"}) - 1
+    table.apply(spark.createDataFrame([], SCHEMA))
     with pytest.raises(ZeroDivisionError), table.versions.next():
         raise ZeroDivisionError
     assert {tuple(r) for r in table.read().collect()} == brute(rows)
