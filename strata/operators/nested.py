@@ -192,19 +192,55 @@ def turn_rows(sessions: DataFrame, key: str = "record_id") -> DataFrame:
     return hold(rows, text=text).select(key, "session_pos", "turn_pos", "item_", *keep, "speaker", "text").where(visible(F.col("text")))
 
 
+def _bare(item: Column) -> Column:
+    return F.when(_is_text(item), get(item, "$", "string"))
+
+
 def attachment_rows(turns: DataFrame, key: str = "record_id") -> DataFrame:
     """One row per named attachment of the given turns; a bare string is a name."""
     rel = plan_relations(SESSION_GRAPH, "record")["attachment"]
-    rows = shred(turns.select(key, "session_pos", "turn_pos", F.col("item_").alias("turn_")), [key, "session_pos", "turn_pos"], "turn_", rel, "$.attachments", "att_pos")
-    item = F.col("item_")
-    name = F.when(_is_text(item), get(item, "$", "string")).otherwise(F.col("name"))
-    return hold(rows, name=name).select(key, "session_pos", "turn_pos", "att_pos", "kind", "name").where(visible(F.col("name")))
-
-
-def attachment_structs(item: Column) -> Column:
-    """The named attachments of a turn as ``array<struct<att_pos, label>>``, empty where there are none."""
-    found = F.transform(
-        F.coalesce(get(item, "$.attachments", "array<variant>"), F.array().cast("array<variant>")),
-        lambda a, i: F.struct(i.alias("att_pos"), F.coalesce(get(a, "$.name", "string"), F.when(_is_text(a), get(a, "$", "string"))).alias("label")),
-    )
-    return F.filter(found, lambda x: visible(x["label"]))
+    rows = shred(turns.select(key, "session_pos", "turn_pos", F.col("item_").alias("turn_")), [key, "session_pos", "turn_pos"], "turn_", rel, rel.parents[0][1], "att_pos")
+    name = F.coalesce("name", _bare(F.col("item_")))
+    return hold(rows, name=name).select(key, "session_pos", "turn_pos", "att_pos", "kind", "name", "item_").where(visible(F.col("name")))
+
+
+def children(item: Column, rel: Relation, parent: str, pos: str) -> Column:
+    """The rows of a planned child relation of one element, as an array of structs: position, the inlined columns of
+    the plan and ``bare`` for an element that is a plain text. For joining levels without reading a value twice."""
+    path = next(p for table, p in rel.parents if table == parent)
+    found = F.coalesce(get(item, path, "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(found, lambda a, i: F.struct(i.alias(pos), _bare(a).alias("bare"), *[get(a, p, kind).alias(name) for name, (p, kind) in rel.columns.items()]))
+
+
+#: name of the position column of each table, in the order of the way down
+POSITIONS = {"session": "session_pos", "turn": "turn_pos", "attachment": "att_pos", "tag": "tag_pos", "ref": "ref_pos"}
+
+
+def tables(df: DataFrame, graph: Mapping[str, Element] = SESSION_GRAPH, root: str = "record", key: str = "record_id", payload: str = "payload") -> dict[str, DataFrame]:
+    """Every table of the plan below the root with its rows: the foreign key (the record's key and the positions of
+    the way down), its own position, and its inlined columns. A table reached in several ways holds the rows of all,
+    the positions it has not passed being null; a recursive element is followed one level, its deeper levels by
+    applying the plan again to its rows."""
+    plan = plan_relations(graph, root)
+    pos = lambda name: POSITIONS.get(name, f"{name}_pos")
+    top = next(n for n, r in plan.items() if any(p == root for p, _ in r.parents))
+    first = unwrap_sessions(df, key, payload).select(key, F.posexplode_outer("sessions_").alias(pos(top), "item_")).where(_is_object(F.col("item_")))
+    levels: dict[str, list[DataFrame]] = {top: [first]}
+    way: dict[str, list[str]] = {top: [key, pos(top)]}
+    for name, rel in plan.items():
+        for parent, path in rel.parents:
+            if parent == root or parent == name or parent not in levels:
+                continue
+            keys = way[parent]
+            for rows in levels[parent]:
+                got = rows.select(*keys, F.posexplode_outer(get(F.col("item_"), path, "array<variant>")).alias(pos(name), "child_")).where("child_ is not null")
+                levels.setdefault(name, []).append(got.select(*keys, pos(name), F.col("child_").alias("item_")))
+                way.setdefault(name, [*keys, pos(name)])
+    out = {}
+    for name, parts in levels.items():
+        rows = parts[0]
+        for more in parts[1:]:
+            rows = rows.unionByName(more, allowMissingColumns=True)
+        cols = [get(F.col("item_"), p, kind).alias(c) for c, (p, kind) in plan[name].columns.items() if c not in rows.columns]
+        out[name] = rows.select(*[c for c in rows.columns if c != "item_"], _bare(F.col("item_")).alias("bare"), *cols)
+    return out

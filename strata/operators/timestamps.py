@@ -8,7 +8,7 @@ that the clock occurs twice (the first counts), none that it is skipped (the
 offset before the change counts), one gives the offset.
 
 Defined cases: null, empty, meaningless or impossible values (month 13, hour 27)
-give no row; an unknown zone name counts as none given; digits finer than
+give no row; zone names are read in any case; an unknown one counts as none given; digits finer than
 microseconds are cut off; missing parts are 0; every year has its own offsets; extra columns are kept as they
 are, the added ones end in ``_`` or are named by the caller.
 """
@@ -108,7 +108,7 @@ def parse_local(df: DataFrame, value: str, default_zone: str | None) -> DataFram
     seconds = digits(2) * 3600 + digits(4) * 60 + digits(6)
     fixed = F.when((seconds <= 18 * 3600) & (digits(4) < 60), seconds * F.when(signed.startswith("+"), 1).otherwise(-1))
     offset = F.when(signed.isNotNull(), fixed).otherwise(F.try_element_at(_literal_map(ABBREVIATIONS), F.col("text_")) * 60)
-    zone = F.coalesce(F.col("named_"), F.col(default_zone) if default_zone else F.lit(None).cast("string"), F.lit("UTC"))
+    zone = F.lower(F.trim(F.coalesce(F.col("named_"), F.col(default_zone) if default_zone else F.lit(None).cast("string"), F.lit("UTC"))))
     df = df.select(*keep, epoch.alias("epoch_"), (F.unix_micros(clock) + F.col("frac_")).alias("clock_"), "year_", offset.alias("off_"), (F.col("text_").isNotNull() & ~F.col("text_").contains("/")).alias("says_"), zone.alias("zone_"))
     bad_zone = F.col("says_") & F.col("off_").isNull()
     return df.select(
@@ -164,14 +164,14 @@ def _zone_years(name: str, first: int, last: int, days: int = 27) -> list[tuple[
 
 @cache
 def _intervals(first: int, last: int) -> list[tuple[str, int, list[tuple[int, int, int, bool]]]]:
-    """The intervals of every zone of the tz database."""
-    return [row for name in sorted(available_timezones()) for row in _zone_years(name, first, last)]
+    """The intervals of every zone of the tz database, under its name in lower case."""
+    return [(row[0].lower(), *row[1:]) for name in sorted(available_timezones()) for row in _zone_years(name, first, last)]
 
 
 def _other_years(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = available_timezones()
+    known = {z.lower(): z for z in available_timezones()}
     for batch in batches:
-        rows = [row for z, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) if z in known for row in _zone_years(z, y, y, days=6)]
+        rows = [(z, *row[1:]) for z, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) if z in known for row in _zone_years(known[z], y, y, days=6)]
         spans = [[dict(zip(("lo", "hi", "off", "gap"), s, strict=True)) for s in row[2]] for row in rows]
         kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("off", pa.int64()), ("gap", pa.bool_())]))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array(spans, kind)], ["zone_", "year_", "spans_"])
@@ -189,7 +189,7 @@ def resolve(df: DataFrame, value: str, out: str = "utc_us", default_zone: str |
     """``df`` with the instant of ``value`` in microseconds since 1970 UTC, null where there is none.
 
     ``flag`` names a column that says how the offset was found: ``given``,
-    ``unique``, ``ambiguous`` or ``skipped``.
+    ``unique``, ``ambiguous``, ``skipped`` or, with UTC taken, ``unknown`` (a zone name that doesn't exist).
     """
     late = F.greatest(F.lit(0), F.ceil((F.col("year_") - LAST) / 400)).cast("bigint")
     parsed = cut(parse_local(df, value, default_zone).withColumn("cycles_", F.coalesce(late, F.lit(0))), "parsed")
@@ -206,7 +206,7 @@ def resolve(df: DataFrame, value: str, out: str = "utc_us", default_zone: str |
     first = F.array_max(F.transform(F.filter("hits_", lambda s: ~s["gap"]), lambda s: s["off"]))
     skipped = F.array_max(F.transform(F.filter("hits_", lambda s: s["gap"]), lambda s: s["off"]))
     found = F.coalesce("offset_s_", first, skipped, F.lit(0))
-    how = F.when(F.col("local_us_").isNotNull(), F.when(F.col("offset_s_").isNotNull(), "given").when(skipped.isNotNull(), "skipped").when(F.size("hits_") > 1, "ambiguous").otherwise("unique"))
+    how = F.when(F.col("local_us_").isNotNull(), F.when(F.col("offset_s_").isNotNull(), "given").when(F.col("hits_").isNull(), "unknown").when(skipped.isNotNull(), "skipped").when(F.size("hits_") > 1, "ambiguous").otherwise("unique"))
     done = hold(j, **{out: F.col("local_us_") - found * 1000000}, **({flag: how} if flag else {}))
     return done.select(*keep, out, *([flag] if flag else []))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.text import visible
 from strata.operators import history, nested, timestamps
 from strata.session import read_table
 
@@ -62,10 +63,22 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = nested.turn_rows(nested.session_rows(read_table(spark, sf_dir, "demo_user")))
     key = ["record_id", "session_pos", "turn_pos"]
     own = F.array(F.struct(F.lit(-1).alias("att_pos"), F.col("speaker").alias("label")))
-    names = nested.attachment_structs(F.col("item_"))
+    planned = nested.plan_relations(nested.SESSION_GRAPH, "record")["attachment"]
+    each = F.transform(nested.children(F.col("item_"), planned, "turn", "att_pos"), lambda a: F.struct(a["att_pos"], F.coalesce(a["name"], a["bare"]).alias("label")))
+    names = F.filter(each, lambda a: visible(a["label"]))
     return turns.select(*key, F.explode(F.concat(own, names)).alias("r")).select(*key, "r.att_pos", "r.label").distinct()
 
 
+def p5_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and distinct parents of every planned table."""
+    out = None
+    for name, rows in nested.tables(read_table(spark, sf_dir, "demo_user").distinct()).items():
+        keys = [c for c in rows.columns if c == "record_id" or c.endswith("_pos")]
+        one = rows.agg(F.lit(name).alias("relation"), F.count(F.lit(1)).alias("n"), F.countDistinct(F.struct(*keys[:-1])).alias("parents"), F.countDistinct(F.struct(*keys)).alias("keys"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value that names a real instant, in microseconds since 1970 UTC."""
     req = read_table(spark, sf_dir, "ingest_requests").select("request_id", "timestamp", "client_zone", "turns")
@@ -80,7 +93,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p5_found": p5_found, "p7_found": p7_found}
+    return {"p2_found": p2_found, "p5_found": p5_found, "p5_tables": p5_tables, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,6 +27,19 @@ def test_attachment_rows_keep_their_parents(spark):
     assert {(r.record_id, r.turn_pos, r.att_pos, r.name) for r in rows} == {(1, 2, 0, "a.txt"), (1, 2, 2, "b")}
 
 
+def test_every_planned_table_has_rows_and_keys(spark):
+    payload = """{"sessions": [null, {"session_id": "s", "client": {"app": "a", "build": {"major": 2, "tags": ["x", "y"]}}, "turns": [
+      {"speaker": "u", "text": "t", "meta": {"lang": "en"}, "attachments": [{"name": "n", "kind": "k", "refs": [{"turn": 3}, {"turn": 4}]}, "bare"]}]}]}"""
+    t = N.tables(spark.createDataFrame([(7, payload)], "record_id bigint, payload string"))
+    rows = {n: [tuple(r) for r in df.orderBy(*df.columns[:-1]).collect()] for n, df in t.items()}
+    assert set(rows) == {"session", "turn", "attachment", "tag", "ref"}
+    assert rows["tag"] == [(7, 1, 0, "x"), (7, 1, 1, "y")]
+    assert [(r.record_id, r.session_pos, r.client_app, r.client_build_major) for r in t["session"].collect()] == [(7, 1, "a", 2)]
+    assert [(r.turn_pos, r.speaker, r.meta_lang) for r in t["turn"].collect()] == [(0, "u", "en")]
+    assert {(r.session_pos, r.turn_pos, r.att_pos, r.bare, r.name) for r in t["attachment"].collect()} == {(1, 0, 0, None, "n"), (1, 0, 1, "bare", None)}
+    assert {(r.att_pos, r.ref_pos, r.turn) for r in t["ref"].collect()} == {(0, 0, 3), (0, 1, 4)}
+
+
 def test_shared_inlining_plan():
     plan = N.plan_relations(N.SESSION_GRAPH, "record")
     assert set(plan) == {"record", "session", "turn", "attachment", "tag", "ref"}

@@ -1,3 +1,4 @@
+import random
 from datetime import UTC, datetime
 from zoneinfo import ZoneInfo
 
@@ -68,6 +69,22 @@ def test_years_beyond_the_table_have_their_own_offsets(spark):
         assert (r.how == "unique") == (again.utcoffset() == local.utcoffset()), (r.value, r.zone)
 
 
+def test_zone_names_in_any_case_and_unknown_ones(spark):
+    df = spark.createDataFrame([("2045-07-01 12:00", "europe/BERLIN "), ("2025-07-01 12:00", "EUROPE/berlin"), ("2025-07-01 12:00 america/new_york", None), ("2025-07-01 12:00", "Mars/Base")], "value string, zone string")
+    got = {(r.zone, (r.utc_us // 3_600_000_000) % 24, r.how) for r in resolve(df, "value", "utc_us", "zone", flag="how").collect()}
+    assert got == {("europe/BERLIN ", 10, "unique"), ("EUROPE/berlin", 10, "unique"), (None, 16, "unique"), ("Mars/Base", 12, "unknown")}
+
+
+def test_ten_zones_from_1900_to_2100(spark):
+    zones = ["Europe/Berlin", "America/New_York", "Asia/Kolkata", "Australia/Lord_Howe", "Africa/Casablanca", "America/Sao_Paulo", "Asia/Tehran", "Pacific/Apia", "Europe/London", "America/St_Johns"]
+    r = random.Random(7)
+    values = [f"{r.randint(1900, 2100)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d} {r.randint(0, 23):02d}:{r.randint(0, 59):02d}" for _ in range(300)]
+    df = spark.createDataFrame([(v, z) for v in values for z in zones], "value string, zone string")
+    for x in resolve(df, "value", "utc_us", "zone").collect():
+        local = datetime.fromisoformat(x.value).replace(tzinfo=ZoneInfo(x.zone), fold=0)
+        assert x.utc_us == round((local.astimezone(UTC) - datetime(1970, 1, 1, tzinfo=UTC)).total_seconds()) * 1_000_000, (x.value, x.zone)
+
+
 def test_layouts_and_extra_columns(spark):
     df = spark.createDataFrame([("2025-01-01", 5, "x")], "value string, year int, spans string")
     r = resolve(df, "value").collect()[0]
