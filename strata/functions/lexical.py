@@ -124,15 +124,36 @@ def _decomposed() -> tuple[str, str]:
 def canonical_name(name: Column) -> Column:
     """The key of an entity: decomposed and lower-cased, punctuation (marks too) as space, no leading
     article, spelling per word, then an alias of it or of its singular. Null becomes empty."""
+    return F.get(canonical_list(F.array(F.coalesce(name, F.lit("")))), F.lit(0))
+
+
+def canonical_list(names: Column) -> Column:
+    """:func:`canonical_name` of every element, in passes over the array, so that no step is written out twice."""
     src, dst = _decomposed()
-    marked = F.translate(F.regexp_replace(F.coalesce(name, F.lit("")), f"([{src}])", "$1\u0001"), src, dst)
-    text = F.trim(F.regexp_replace(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{N}_\s\-]", " "), r"(?U)\s+", " "))
-    text = F.regexp_replace(text, r"^(?:a|an|the) ", "")
-    text = F.array_join(F.transform(F.split(F.trim(text), r" +"), lambda w: _mapped(w, SPELLING)), " ")
-    text = _mapped(text, ALIASES)
-    plural = (F.length(text) > 3) & F.endswith(text, F.lit("s")) & ~F.endswith(text, F.lit("ss"))
-    singular = F.substring(text, F.lit(1), F.length(text) - 1)
-    return F.trim(F.when(plural, F.coalesce(F.try_element_at(_map(ALIASES), singular), text)).otherwise(text))
+
+    def plain(name: Column) -> Column:
+        marked = F.translate(F.regexp_replace(name, f"([{src}])", "$1\u0001"), src, dst)
+        text = F.trim(F.regexp_replace(F.regexp_replace(F.lower(marked), r"[^\p{L}\p{N}_\s\-]", " "), r"(?U)\s+", " "))
+        text = F.regexp_replace(text, r"^(?:a|an|the) ", "")
+        return F.array_join(F.transform(F.split(F.trim(text), r" +"), lambda w: _mapped(w, SPELLING)), " ")
+
+    def singular(text: Column) -> Column:
+        plural = (F.length(text) > 3) & F.endswith(text, F.lit("s")) & ~F.endswith(text, F.lit("ss"))
+        one = F.substring(text, F.lit(1), F.length(text) - 1)
+        return F.trim(F.when(plural, F.coalesce(F.try_element_at(_map(ALIASES), one), text)).otherwise(text))
+
+    return F.transform(F.transform(F.transform(names, plain), lambda x: _mapped(x, ALIASES)), singular)
+
+
+def canonical_text(name: str) -> str:
+    """The same for a word of the driver's tables."""
+    flat = "".join(c if c.isalnum() or c in "_- " else " " for c in unicodedata.normalize("NFKD", name).lower())
+    words = flat.split()
+    words = words[1:] if len(words) > 1 and words[0] in ("a", "an", "the") else words
+    text = " ".join(SPELLING.get(w, w) for w in words)
+    text = ALIASES.get(text, text)
+    plural = len(text) > 3 and text.endswith("s") and not text.endswith("ss")
+    return ALIASES.get(text[:-1], text) if plural else text
 
 
 def sentences(text: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import lexical
 from strata.operators import budget, facts as fact_ops, routing, search
-from strata.operators.extraction import extract
+from strata.operators.extraction import question_entities
 from strata.operators.timestamps import human_date
 from strata.session import cut
 
@@ -47,10 +47,9 @@ def analyse(questions: DataFrame, memory: Memory, rated: DataFrame | None = None
     q = routing.best_path(q, rated if rated is not None else empty)
     weights = search.idf_weights(memory.utterances, q.select(F.explode("tokens").alias("token")))
     per = q.select("query_id", F.explode(F.array_distinct("tokens")).alias("token")).join(weights, "token").groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("weights"))
-    named = extract(questions.select("query_id", F.col("question").alias("text"), F.lit("query").alias("speaker")), ["query_id"]).where("kind = 'entity'").select("query_id", F.col("canonical_name").alias("n"))
-    own = questions.where(F.col("question").rlike(r"(?i)\b(?:i|me|my|mine|myself)\b")).select("query_id", F.lit("user").alias("n"))
+    named = question_entities(questions).select("query_id", F.col("canonical_name").alias("n"))
     words = q.select("query_id", F.explode("tokens").alias("n"))
-    names = named.unionByName(own).unionByName(words).distinct()
+    names = named.unionByName(words).distinct()
     q = q.withColumn("q_stems", lexical.stem_list(F.col("tokens")))
     return q.join(per, "query_id", "left").join(names.groupBy("query_id").agg(F.collect_set("n").alias("names")), "query_id", "left")
 

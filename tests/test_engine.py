@@ -88,7 +88,7 @@ def test_text_functions_never_fail(spark, texts):
 def test_canonical_names(spark):
     names = ["The User", "k8s", "Golang!", "My  Favourite Colours", "Café-Bar", "naïve idea", "C++", "tests", "boss", "", None]
     got = [r.c for r in spark.createDataFrame([(n,) for n in names], "n string").select(L.canonical_name(F.col("n")).alias("c")).collect()]
-    assert got == [extraction.canonical(n) for n in names]
+    assert got == [L.canonical_text(n or "") for n in names]
     assert fold_py("Ærø Straße É") == "aero strasse e"
 
 
@@ -168,29 +168,42 @@ def test_policies_and_duplicates(spark):
 
 
 # ---- extraction ----------------------------------------------------------------------------------
-@pytest.mark.parametrize(
-    "text,want",
-    [
-        ("I prefer Go for data pipelines.", [("prefers_language", "go", "data pipelines", "positive")]),
-        ("I use Postgres and Docker", [("uses_database", "postgresql", "", "positive"), ("uses_tool", "docker", "", "positive")]),
-        ("I like tea, but I hate coffee.", [("likes_beverage", "tea", "", "positive"), ("likes_beverage", "coffee", "", "negative")]),
-        ("I moved to Lagos last month.", [("lives_in_city", "lagos", "", "positive")]),
-        ("My favourite colour is teal.", [("favorite_color", "teal", "", "positive")]),
-        ("I also really like green tea these days.", [("likes_beverage", "green tea", "", "positive")]),
-        ("You like tea.", []),
-        ("", []),
-    ],
-)
-def test_rules(text, want):
-    assert [(r[3], r[4], r[5], r[6]) for r in extraction.extract_text(text, "user") if r[0] == "fact"] == want
-    assert not [r for r in extraction.extract_text(text, "assistant") if r[0] == "fact"]
+STATED = [
+    ("I prefer Go for data pipelines.", [("prefers_language", "go", "data pipelines", "positive")]),
+    ("I use Postgres and Docker", [("uses_database", "postgresql", "", "positive"), ("uses_tool", "docker", "", "positive")]),
+    ("I like tea, but I hate coffee.", [("likes_beverage", "tea", "", "positive"), ("likes_beverage", "coffee", "", "negative")]),
+    ("I moved to Lagos last month.", [("lives_in_city", "lagos", "", "positive")]),
+    ("My favourite colour is teal.", [("favorite_color", "teal", "", "positive")]),
+    ("I also really like green tea these days.", [("likes_beverage", "green tea", "", "positive")]),
+    ("You like tea.", []),
+    ("", []),
+    ("I moved to Berlin in 2024 last month and I love tea, but I don't like eggs anymore.", [("lives_in_city", "berlin", "", "positive"), ("likes_beverage", "tea", "", "positive"), ("likes_food", "eggs", "", "negative")]),
+    ("my name is Søren Ærø", [("name", "søren ærø", "", "positive")]),
+]
+
+
+def test_rules(spark):
+    df = spark.createDataFrame([(i, t, s) for i, (t, _) in enumerate(STATED) for s in ("user", "assistant")], "id int, text string, speaker string")
+    got = {}
+    for r in sorted(extraction.extract(df, ["id", "speaker"]).where("kind = 'fact'").collect(), key=lambda r: r.seq):
+        got.setdefault((r.id, r.speaker), []).append((r.predicate, r.object, r.qualifier, r.polarity))
+    assert got == {(i, "user"): want for i, (_, want) in enumerate(STATED) if want}
+
+
+def test_entities(spark):
+    text = "Yesterday I met Ana Bel at Acme Labs. Go to New York with Visual Studio Code! I like tea."
+    rows = extraction.extract(spark.createDataFrame([("t", text, "user")], "id string, text string, speaker string"), ["id"]).where("kind = 'entity'").collect()
+    assert {r.canonical_name: r.entity_type for r in rows} == {
+        "ana bel": "named_entity", "acme labs": "named_entity", "go": "technology", "new york": "place", "visual studio code": "technology", "tea": "food", "user": "person",
+    }
 
 
 def test_extraction_table(spark):
     df = spark.createDataFrame([("t1", "I live in Berlin. I work at Acme Labs.", " User ", 1), ("t2", None, None, 2), ("t3", "x" * 50_000, "user", 3)], "id string, text string, speaker string, kind int")
     rows = extraction.extract(df, ["id"]).collect()
     assert {(r.predicate, r.object) for r in rows if r.kind == "fact"} == {("lives_in_city", "berlin"), ("works_at", "acme labs")}
-    assert "user" in extraction.question_entities("Where do I live?")
+    q = spark.createDataFrame([("q", "Where do I live?"), ("r", "What is it?")], "query_id string, question string")
+    assert {tuple(r) for r in extraction.question_entities(q).collect()} == {("q", "user")}
 
 
 # ---- routing, budgets, evaluation ----------------------------------------------------------------
