@@ -12,7 +12,7 @@ from strata.operators import budget, facts, graph, predicates as p, routing, sea
 from strata.operators.extraction import extract
 from strata.operators.timestamps import human_date, to_iso
 from strata.plans import answer as plan
-from strata.plans import evaluate
+from strata.plans import evaluate, intake
 from strata.session import cut, read_table
 from strata.streaming import ingest
 
@@ -45,8 +45,7 @@ _F = "(SELECT DISTINCT ON (id) * FROM facts)"
 @query("match_ordered", f"SELECT id, predicate, object, confidence FROM {_F} WHERE predicate = 'works_at' AND is_current ORDER BY confidence DESC NULLS LAST, id LIMIT 200 OFFSET 5")
 def _match(s, d):
     f = _facts(s, d).select("id", "predicate", "object", "confidence", "is_current")
-    rows = p.where(f, {"predicate": "works_at", "is_current": True}).orderBy(F.col("confidence").desc_nulls_last(), "id")
-    return rows.offset(5).limit(200).drop("is_current")
+    return p.match(f, {"predicate": "works_at", "is_current": True}, [("confidence", "desc"), ("id", "asc")], 200, 5).drop("is_current")
 
 
 _PREDS = {
@@ -309,14 +308,26 @@ def _classify(s, d):
     return u.select("id", "c.query_type", F.round("c.confidence", 3).alias("confidence"), "history", "cue")
 
 
-@query("mentions", f"SELECT u.id AS utterance_id, t.tool FROM {_U} u JOIN (SELECT lower(canonical_name) AS tool FROM canon_items WHERE category = 'tool') t ON contains(lower(u.text), t.tool)")
+_NAMES = "(SELECT DISTINCT s AS session_id, lower(trim(object)) AS name FROM (SELECT unnest(source_sessions) AS s, object FROM facts) WHERE s IS NOT NULL AND trim(object) <> '' UNION SELECT DISTINCT id, 'user' FROM sessions WHERE session_number = 1)"
+
+
+@query("mentions", f"SELECT DISTINCT u.id AS utterance_id, n.name AS canonical_name FROM {_U} u JOIN {_NAMES} n ON n.session_id = u.session_id AND (n.name = 'user' OR contains(lower(coalesce(u.text, '')), n.name))")
 def _mentions(s, d):
-    # a bounded list, checked, carried as one array: one scan of the texts, no pairs are formed
-    tools = _t(s, d, "canon_items").where("category = 'tool'").select(F.lower("canonical_name").alias("t")).limit(10_001).collect()
-    if len(tools) > 10_000:
-        raise ValueError("more than 10000 names")
-    low = F.lower("text")
-    return _utterances(s, d).select(F.col("id").alias("utterance_id"), F.explode(F.filter(F.array(*[F.lit(r[0]) for r in tools]), lambda t: F.contains(low, t))).alias("tool"))
+    """Every utterance with the names its session is known for."""
+    known = _t(s, d, "facts").select(F.explode("source_sessions").alias("session_id"), F.lower(F.trim("object")).alias("canonical_name")).where("session_id is not null and canonical_name <> ''")
+    own = _t(s, d, "sessions").where("session_number = 1").select(F.col("id").alias("session_id"), F.lit("user").alias("canonical_name"))
+    return intake.mention_edges(_utterances(s, d).where("session_id is not null"), known.unionByName(own).distinct(), ["session_id"])
+
+
+@query("evidence_utterances", f"""WITH f AS (SELECT DISTINCT id AS fact_id, s AS session_id, lower(trim(coalesce(evidence, ''))) AS e FROM (SELECT id, evidence, unnest(source_sessions) AS s FROM {_F})),
+u AS (SELECT DISTINCT ON (id) id, session_id, utterance_number AS n, lower(trim(coalesce(text, ''))) AS t FROM utterances WHERE session_id IS NOT NULL),
+p AS (SELECT f.fact_id, f.session_id, u.id, CASE WHEN f.e <> '' AND u.t = f.e THEN 0 WHEN f.e <> '' AND contains(u.t, f.e) THEN 1 ELSE 2 END AS r, u.n FROM f JOIN u USING (session_id))
+SELECT fact_id || '/' || session_id AS fact_id, arg_min(id, (r, n, id)) AS utterance_id FROM p GROUP BY fact_id, session_id""")
+def _proof(s, d):
+    """The utterance a fact rests on, in each of its sessions."""
+    f = _facts(s, d).select("id", "evidence", F.explode("source_sessions").alias("session_id")).where("session_id is not null").distinct()
+    said = graph.node_table(s, d, "Utterance").where("session_id is not null")
+    return intake.evidence_utterances(f.withColumn("id", F.concat_ws("/", "id", "session_id")), said, ["session_id"])
 
 
 # ---- facts ---------------------------------------------------------------------------------------
@@ -348,6 +359,16 @@ def _conflicts(s, d):
     return facts.conflicts(_merged(s, d))
 
 
+@query("conflict_edges", f"{_MERGED}, c AS (SELECT id, anchor_id FROM m WHERE outcome IN ('correction','update','contradiction')) SELECT 'c-' || id AS start_id, 'INVOLVES' AS type, anchor_id AS end_id, 'existing' AS role FROM c UNION ALL SELECT 'c-' || id, 'INVOLVES', id, 'new' FROM c UNION ALL SELECT anchor_id, 'CONFLICTS_WITH', id, '' FROM c")
+def _conflict_edges(s, d):
+    return intake.conflict_edges(facts.conflicts(_merged(s, d)).withColumn("id", F.concat(F.lit("c-"), "new_id")))
+
+
+@query("merge_counters", f"{_MERGED} SELECT predicate, count(*) FILTER (outcome <> 'reinforce') AS facts_created, count(*) FILTER (outcome = 'reinforce') AS facts_reinforced, count(*) FILTER (outcome IN ('correction','update','contradiction')) AS conflicts_detected FROM m GROUP BY predicate")
+def _counters(s, d):
+    return intake.counters(_merged(s, d), ["predicate"])
+
+
 _AT, _NS, _CF = "coalesce(valid_from, TIMESTAMPTZ '1970-01-01 00:00:00+00')", "coalesce(len(list_distinct(source_sessions)), 0)", "coalesce(confidence, 0.0)"
 _ORDER = {"recency": f"{_AT} DESC", "frequency": f"{_NS} DESC, {_AT} DESC", "confidence": f"{_CF} DESC, {_AT} DESC", "trust": f"(coalesce(extraction_method, '') <> 'llm-extract') DESC, {_NS} DESC, {_AT} DESC"}
 for _pol, _o in _ORDER.items():
@@ -374,8 +395,8 @@ def _duplicates(s, d):
     return facts.merge_duplicates(_facts(s, d))
 
 
-@query("fact_predecessor", f"""WITH r AS (SELECT subject, predicate, valid_from, max(lower(object)) AS o FROM {_F} WHERE valid_from IS NOT NULL GROUP BY ALL), q AS (SELECT subject, predicate, valid_from, lag(o) OVER (PARTITION BY subject, predicate ORDER BY valid_from) AS previous_object FROM r)
-SELECT id, previous_object FROM {_F} f JOIN q USING (subject, predicate, valid_from)""")
+@query("fact_predecessor", f"""SELECT f.id, (SELECT arg_max(lower(o.object), (o.valid_from, lower(o.object))) FROM {_F} o WHERE o.subject = f.subject AND o.predicate = f.predicate AND o.valid_from < f.valid_from AND lower(o.object) IS DISTINCT FROM lower(f.object) AND o.object IS NOT NULL) AS previous_object
+FROM {_F} f WHERE f.valid_from IS NOT NULL""")
 def _predecessor(s, d):
     return facts.predecessors(_facts(s, d))
 
@@ -390,10 +411,11 @@ def _supersession(s, d):
     return facts.supersession(f, pairs.select(F.col("winner_id").alias("start_id"), F.lit("SUPERSEDES").alias("type"), F.col("loser_id").alias("end_id")).distinct())
 
 
-@query("entity_upserts", "SELECT lower(name) AS key, count(*) AS mentions, min(first_seen) AS first_seen, max(last_seen) AS last_seen, arg_min(entity_type, (first_seen, id)) AS entity_type FROM (SELECT DISTINCT ON (id) * FROM entities) WHERE name IS NOT NULL AND entity_type IS NOT NULL GROUP BY 1")
+@query("entity_upserts", """WITH e AS (SELECT DISTINCT ON (id) * FROM entities), k AS (SELECT *, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS key FROM e WHERE name IS NOT NULL)
+SELECT key, count(*) AS mentions, min(first_seen) AS first_seen, max(last_seen) AS last_seen, arg_min(entity_type, (first_seen, id)) FILTER (entity_type IS NOT NULL) AS entity_type, arg_min(name, (first_seen, id)) AS name FROM k GROUP BY 1""")
 def _entities(s, d):
-    e = graph.node_table(s, d, "Entity").where("name is not null and entity_type is not null")
-    return e.groupBy(F.lower("name").alias("key")).agg(F.count(F.lit(1)).alias("mentions"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min_by("entity_type", F.struct("first_seen", "id")).alias("entity_type"))
+    e = graph.node_table(s, d, "Entity").where("name is not null").withColumn("key", F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))))
+    return intake.entity_upserts(e, ["key"])
 
 
 @query("top_caps", f"SELECT subject, predicate, id, confidence FROM {_F} QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY confidence DESC NULLS LAST, id) <= 4")
@@ -492,13 +514,13 @@ def _retriever(s, d):
 @query("session_tokens", "SELECT session_id, count(*) AS turns, sum(token_count) AS tokens FROM (SELECT DISTINCT * FROM turns) WHERE session_id IS NOT NULL GROUP BY session_id")
 def _session_tokens(s, d):
     t = graph.node_table(s, d, "Turn").where("session_id is not null")
-    return t.groupBy("session_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("token_count").alias("tokens"))
+    return intake.token_totals(t, ["session_id"])
 
 
-@query("session_summaries", "SELECT session_id, CASE WHEN length(t) <= 160 THEN t ELSE rtrim(left(t, 159)) || '…' END AS summary FROM (SELECT session_id, arg_min(text, (turn_number, id)) AS t FROM (SELECT DISTINCT * FROM turns) WHERE session_id IS NOT NULL AND turn_number IS NOT NULL AND speaker = 'user' GROUP BY 1)")
+@query("session_summaries", "SELECT session_id, CASE WHEN length(t) <= 160 THEN t ELSE rtrim(left(t, 159)) || '…' END AS summary FROM (SELECT session_id, arg_min(text, (turn_number, id)) AS t FROM (SELECT DISTINCT * FROM turns) WHERE session_id IS NOT NULL AND turn_number IS NOT NULL AND speaker = 'user' AND text IS NOT NULL GROUP BY 1)")
 def _summaries(s, d):
-    t = graph.node_table(s, d, "Turn").where("session_id is not null and turn_number is not null and speaker = 'user'")
-    return t.groupBy("session_id").agg(lexical.truncate(F.min_by("text", F.struct("turn_number", "id")), 160).alias("summary"))
+    t = graph.node_table(s, d, "Turn").where("session_id is not null and turn_number is not null")
+    return intake.summaries(t, ["session_id"], ["turn_number", "id"])
 
 
 # ---- read models ---------------------------------------------------------------------------------

@@ -18,7 +18,7 @@ def distinct_facts(facts: DataFrame) -> DataFrame:
     return facts.dropDuplicates(["id"])
 
 
-def merge_statements(statements: DataFrame, priors: DataFrame | None = None) -> DataFrame:
+def merge_statements(statements: DataFrame, priors: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """Each statement with what becomes of it, in closed form and without a fold.
 
     statements: id, subject, predicate, object, polarity, confidence, seq (order of
@@ -33,16 +33,21 @@ def merge_statements(statements: DataFrame, priors: DataFrame | None = None) ->
 
     ``anchor_id`` names the fact it meets. Anchors come from an aggregate by slot
     (smallest arrival), so hot slots are combined map-side; the way back is a join
-    whose hot keys the adaptive plan splits.
+    whose hot keys the adaptive plan splits. ``by``: columns that keep slots apart (a
+    tenant). Of several prior facts with a statement's object the newest is its anchor,
+    its rival is the newest of all.
     """
+    by = by or []
     s = statements.withColumn("functional", lexical.is_functional(F.col("predicate"))).withColumn("scope", F.when(F.col("functional"), F.lit("")).otherwise(F.col("object")))
-    slot = ["subject", "predicate", "scope"]
-    first = s.groupBy(*slot).agg(F.min(F.struct("seq", "id", "object", "polarity")).alias("a"))
+    slot = [*by, "subject", "predicate", "scope"]
+    fact = F.struct("id", "object", "polarity")
+    anchors = s.groupBy(*slot).agg(F.min(F.struct("seq", "id", "object", "polarity")).alias("f")).select(*slot, F.struct("f.id", "f.object", "f.polarity").alias("a"))
+    j = s.join(anchors, slot)
     if priors is not None:
         p = priors.withColumn("scope", F.when(lexical.is_functional(F.col("predicate")), F.lit("")).otherwise(F.col("object")))
-        held = p.groupBy(*slot).agg(F.max(F.struct("valid_from", "id", "object", "polarity")).alias("h"))
-        first = first.join(held, slot, "left").select(*slot, F.coalesce(F.when(F.col("h").isNotNull(), F.struct(F.lit(None).cast("long").alias("seq"), F.col("h.id").alias("id"), F.col("h.object").alias("object"), F.col("h.polarity").alias("polarity"))), F.col("a")).alias("a"))
-    j = s.join(first, slot)
+        newest = p.groupBy(*slot).agg(F.max_by(fact, F.struct("valid_from", "id")).alias("h"))
+        same = p.groupBy(*slot, "object").agg(F.max_by(fact, F.struct("valid_from", "id")).alias("o"))
+        j = j.join(newest, slot, "left").join(same, [*slot, "object"], "left").withColumn("a", F.coalesce("o", "h", "a"))
     a = F.col("a")
     kind = (
         F.when(F.col("id") == a["id"], "current")
@@ -50,7 +55,7 @@ def merge_statements(statements: DataFrame, priors: DataFrame | None = None) ->
         .when(F.col("object") == a["object"], "correction")
         .otherwise(F.when(F.col("cue") == "update", "update").when(F.col("cue") == "correction", "correction").otherwise("contradiction"))
     )
-    return j.select("id", "subject", "predicate", "object", "polarity", "confidence", "seq", kind.alias("outcome"), a["id"].alias("anchor_id"))
+    return j.select(*by, "id", "subject", "predicate", "object", "polarity", "confidence", "seq", kind.alias("outcome"), a["id"].alias("anchor_id"))
 
 
 def merged_facts(merged: DataFrame) -> DataFrame:
@@ -127,13 +132,13 @@ def consolidate(facts: DataFrame, pairs: DataFrame, policy: str, now: Column) ->
     return out, done.select(F.col("winner_id").alias("start_id"), F.lit("SUPERSEDES").alias("type"), F.col("loser_id").alias("end_id")).distinct()
 
 
-def merge_duplicates(facts: DataFrame) -> DataFrame:
+def merge_duplicates(facts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(keep_id, subject, predicate, object, polarity, n, n_sources, confidence) of current facts that state
     the same twice or more: the earliest is kept, with all sources and min(1, max(best, .6 + .1 n_sources)).
 
     Sources are counted as distinct pairs in two steps, so no group is collected.
     """
-    key = ["subject", "predicate", "object", "polarity"]
+    key = [*(by or []), "subject", "predicate", "object", "polarity"]
     cur = facts.where("is_current")
     groups = cur.groupBy(*key).agg(
         F.min(F.struct(F.coalesce("valid_from", epoch()).alias("t"), F.col("id").alias("id")))["id"].alias("keep_id"), F.count(F.lit(1)).alias("n"), F.max("confidence").alias("c")
@@ -144,22 +149,53 @@ def merge_duplicates(facts: DataFrame) -> DataFrame:
     return groups.join(sources, key, "left").select("keep_id", *key, "n", m.cast("bigint").alias("n_sources"), conf.alias("confidence"))
 
 
+def close_duplicates(facts: DataFrame, now: Column, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts, (keep_id, id) of what was merged away): of current facts that state the same the earliest keeps all
+    sources and the confidence of :func:`merge_duplicates`, the others are closed at ``now``."""
+    key = [*(by or []), "subject", "predicate", "object", "polarity"]
+    cur = facts.where("is_current")
+    groups = merge_duplicates(facts, by).select(*key, "keep_id", F.col("confidence").alias("c_"))
+    member = cur.select(*key, "id").join(groups, key)
+    away = member.where("id <> keep_id").select("keep_id", "id")
+    sources = cur.select(*key, F.explode("source_sessions").alias("s")).where("s is not null").distinct().join(groups.select(*key, "keep_id"), key)
+    # the distinct sources of one fact, as it will be stored
+    gathered = sources.groupBy(F.col("keep_id").alias("id")).agg(F.array_sort(F.collect_set("s")).alias("s_"))
+    j = facts.join(groups.select(F.col("keep_id").alias("id"), "c_"), "id", "left").join(gathered, "id", "left").join(away.select("id", F.lit(True).alias("away_")), "id", "left")
+    changed = {
+        "confidence": F.coalesce("c_", "confidence"), "source_sessions": F.coalesce("s_", "source_sessions"),
+        "is_current": F.when(F.col("away_"), False).otherwise(F.col("is_current")), "valid_until": F.when(F.col("away_"), now).otherwise(F.col("valid_until")),
+    }
+    return j.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in facts.columns]), away
+
+
 def predecessors(facts: DataFrame) -> DataFrame:
-    """(id, previous_object): of the facts of a subject and predicate the latest with an earlier start and another object.
+    """(id, previous_object): of the facts of a subject and predicate the latest with an earlier start and another
+    object; of several objects of one start the largest.
 
-    As-of self-join without a join: within a block of time the previous fact is a
-    lag, across blocks one row per block is handed over.
+    As-of self-join without a join. Facts of one start are a step; with every step goes its object and the latest
+    object that differs from it. What is carried from step to step is a window within a block of time, and one row per
+    block between blocks.
     """
     key = ["subject", "predicate"]
     rows = facts.where("valid_from is not null").select("id", *key, F.lower("object").alias("object"), "valid_from")
-    runs = rows.groupBy(*key, "valid_from").agg(F.max("object").alias("at_object"))
-    runs = runs.withColumn("block", F.date_trunc("month", "valid_from"))
-    w = Window.partitionBy(*key, "block").orderBy("valid_from")
-    inner = runs.withColumn("p", F.lag("at_object").over(w))
-    last = runs.groupBy(*key, "block").agg(F.max(F.struct("valid_from", "at_object"))["at_object"].alias("l"))
-    last = last.select(*key, "block", F.lag("l").over(Window.partitionBy(*key).orderBy("block")).alias("before"))
-    prev = inner.join(last, [*key, "block"]).select(*key, "valid_from", F.coalesce("p", "before").alias("previous_object"))
-    return rows.join(prev, [*key, "valid_from"]).select("id", "previous_object")
+    nth = F.row_number().over(Window.partitionBy(*key, "valid_from").orderBy(F.col("object").desc()))
+    two = rows.where("object is not null").select(*key, "valid_from", "object").distinct().withColumn("r_", nth).where("r_ <= 2")
+    steps = two.groupBy(*key, "valid_from").agg(F.max("object").alias("o1"), F.min("object").alias("o2"))
+    steps = rows.select(*key, "valid_from").distinct().join(steps, [*key, "valid_from"], "left").withColumn("block", F.date_trunc("month", "valid_from"))
+
+    def carried(df: DataFrame, c: str, out: str) -> DataFrame:
+        """The last non-null value of ``c`` before each step."""
+        inside = Window.partitionBy(*key, "block").orderBy("valid_from").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.partitionBy(*key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = df.groupBy(*key, "block").agg(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("valid_from"))).alias("l_"))
+        blocks = blocks.select(*key, "block", F.last("l_", ignorenulls=True).over(before).alias("b_"))
+        return df.withColumn("i_", F.last(c, ignorenulls=True).over(inside)).join(blocks, [*key, "block"]).withColumn(out, F.coalesce("i_", "b_")).drop("i_", "b_")
+
+    known = carried(steps, "o1", "p1")
+    other = F.when(F.col("o1") != F.col("o2"), F.col("o2")).when(F.col("p1") != F.col("o1"), F.col("p1"))
+    known = carried(known.withColumn("other_", other), "other_", "p2")
+    j = rows.join(known.select(*key, "valid_from", "p1", "p2"), [*key, "valid_from"])
+    return j.select("id", F.when(F.col("p1").eqNullSafe(F.col("object")), F.col("p2")).otherwise(F.col("p1")).alias("previous_object"))
 
 
 def supersession(facts: DataFrame, edges: DataFrame) -> DataFrame:
