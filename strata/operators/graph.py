@@ -89,7 +89,7 @@ def expand(edges: DataFrame, anchors: DataFrame, types: Sequence[str] | None = N
     return found.select("anchor_id", "type", "other_id")
 
 
-def paths(edges: DataFrame, sources: DataFrame, types: Sequence[str] | None = None, direction: str = "out", max_len: int = 3, path_count: int = 40, result_limit: int = 400) -> DataFrame:
+def paths(edges: DataFrame, sources: DataFrame, types: Sequence[str] | None = None, direction: str = "out", max_len: int = 3, path_count: int = 40, result_limit: int | None = 400) -> DataFrame:
     """Bounded simple paths: (source_id, depth, nodes), at most ``path_count`` per source, shortest first,
     then by node ids, and ``result_limit`` in all.
 
@@ -114,7 +114,8 @@ def paths(edges: DataFrame, sources: DataFrame, types: Sequence[str] | None = No
         found = kept if found is None else found.unionByName(kept)
     order = Window.partitionBy("source_id").orderBy("depth", "nodes")
     best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= path_count).drop("n")
-    return best.orderBy("source_id", "depth", "nodes").limit(result_limit).select("source_id", "depth", "nodes")
+    best = best.select("source_id", "depth", "nodes")
+    return best if result_limit is None else best.orderBy("source_id", "depth", "nodes").limit(result_limit)
 
 
 def _first_per(df: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -165,11 +166,29 @@ def merge_nodes(nodes: DataFrame, new: DataFrame, key: str, on_match: Mapping[st
     return j.select(*cols)
 
 
-def set_props(nodes: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """Shallow update by key: non-null values of ``updates`` replace, all else stays; an unknown key is an error for the caller to check."""
-    new = updates.dropDuplicates([key]).select(key, *[F.col(c).alias(f"u_{c}") for c in updates.columns if c != key])
+def set_props(nodes: DataFrame, updates: DataFrame, key: str = "id", strict: bool = False) -> DataFrame:
+    """Shallow update by key: the columns of ``updates`` replace those of the row it names, null included, all else
+    stays. With ``strict`` an unknown key is an error (KeyError)."""
+    changed = [c for c in updates.columns if c != key]
+    if strict and (lost := updates.join(nodes, key, "left_anti").select(key).limit(1).collect()):
+        raise KeyError(lost[0][0])
+    new = updates.dropDuplicates([key]).select(key, F.lit(True).alias("known_"), *[F.col(c).alias(f"u_{c}") for c in changed])
     j = nodes.join(new, key, "left")
-    return j.select(*[F.coalesce(f"u_{c}", c).alias(c) if f"u_{c}" in new.columns else F.col(c) for c in nodes.columns])
+    return j.select(*[F.when(F.col("known_"), F.col(f"u_{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in nodes.columns])
+
+
+def node_titles(nodes: DataFrame, label: str) -> DataFrame:
+    """(id, title) of the nodes of a label for display."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    number = F.col("session_number") if label == "Session" else F.lit(None)
+    titles = {
+        "Fact": lambda: F.concat(text("predicate"), F.lit(": "), text("object")), "Entity": lambda: text("canonical_name"),
+        "Session": lambda: F.when(F.coalesce(number, F.lit(0)) != 0, F.concat(F.lit("session "), number.cast("string"))).otherwise(F.coalesce(F.date_format("start_time", "yyyy-MM-dd"), F.lit("unknown date"))),
+        "Turn": lambda: F.concat(text("speaker"), F.lit(" #"), F.coalesce("turn_number", F.lit(0)).cast("string")), "Utterance": lambda: F.substring(text("text"), 1, 60),
+        "Conflict": lambda: F.concat(text("predicate"), F.lit(" ("), text("status"), F.lit(")")), "QueryType": lambda: text("name"), "RetrievalPath": lambda: text("name"),
+        "Outcome": lambda: F.concat(text("query_type"), F.when(F.col("success"), " ok").otherwise(" fail")),
+    }
+    return nodes.select("id", titles.get(label, lambda: F.substring(text("id"), 1, 24))().alias("title"))
 
 
 def sample(nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
