@@ -141,10 +141,8 @@ def _paths(s, d):
 FROM (SELECT DISTINCT id, session_id FROM utterances) u LEFT JOIN (SELECT DISTINCT ON (id) id, session_number, start_time FROM sessions) s ON s.id = u.session_id""")
 def _hydrate(s, d):
     u = _t(s, d, "utterances").select("id", "session_id").distinct()
-    ses = _t(s, d, "sessions").select(F.col("id").alias("session_id"), "session_number", "start_time").dropDuplicates(["session_id"])
-    j = u.join(ses, "session_id", "left")
-    label = F.when(F.col("session_number").isNotNull(), F.concat(F.lit("session "), F.col("session_number").cast("string"), F.lit(" ("), human_date(F.col("start_time")), F.lit(")")))
-    return j.select("id", F.coalesce(label, F.concat(F.lit("session "), human_date(F.col("start_time")))).alias("label"))
+    ses = _t(s, d, "sessions").dropDuplicates(["id"]).select(F.col("id").alias("session_id"), plan.session_label().alias("label"))
+    return u.join(ses, "session_id", "left").select("id", F.coalesce("label", F.lit("session unknown date")).alias("label"))
 
 
 @query("merge_edges", f"""WITH e AS (SELECT * FROM ({_EDGES}) WHERE type = 'HAS_TURN'), n AS (SELECT DISTINCT session_id AS start_id, 'HAS_TURN' AS type, turn_id AS end_id FROM utterances WHERE session_id IS NOT NULL AND turn_id IS NOT NULL)
@@ -570,10 +568,13 @@ _QUESTIONS = ["Where do I live?", "What did usr-00000002 prefer before?", "Which
 
 
 def memory(s: SparkSession, d: str) -> plan.Memory:
+    """The stored tables; entities are the names typed, in canonical form, and the subjects of facts."""
     f = cut(_facts(s, d), "facts")
-    pairs = facts.resolve_pairs(facts.conflicts(_merged(s, d)).select(F.col("new_id").alias("conflict_id"), "existing_id", "new_id"), f)
-    edges = pairs.select(F.col("winner_id").alias("start_id"), F.col("loser_id").alias("end_id")).distinct()
-    return plan.Memory(f, _utterances(s, d), graph.node_table(s, d, "Session"), edges)
+    found = cut(facts.conflicts(_merged(s, d)).select(F.col("new_id").alias("conflict_id"), "existing_id", "new_id"), "conflicts")
+    edges = cut(facts.resolve_pairs(found, f).select(F.col("winner_id").alias("start_id"), F.col("loser_id").alias("end_id")).distinct(), "supersedes")
+    known = graph.node_table(s, d, "Entity").select(lexical.canonical_name(F.col("name")).alias("canonical_name")).unionByName(f.select(F.col("subject").alias("canonical_name"))).where("canonical_name <> ''").distinct()
+    sides = found.select("conflict_id", F.explode(F.array("existing_id", "new_id")).alias("fact_id"), F.lit("resolved").alias("status"))
+    return plan.Memory(f, _utterances(s, d), graph.node_table(s, d, "Session"), edges, sides, cut(known, "known"))
 
 
 @query("answers")

@@ -53,16 +53,25 @@ STATED_NOT = {
 # ------------------------------------------------------------------------------------------------
 
 
-def _map(d: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+def literal(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _mapped(c: Column, d: dict[str, str]) -> Column:
-    return F.coalesce(F.try_element_at(_map(d), c), c)
+def map_of(d: dict[str, str]) -> Column:
+    """A constant map, built by one call: large constants made of columns cost a call an entry."""
+    return F.expr(f"map({', '.join(literal(x) for kv in d.items() for x in kv)})")
+
+
+def array_of(words: list[str]) -> Column:
+    return F.expr(f"array({', '.join(map(literal, words))})")
 
 
-def _strings(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+_map = map_of
+
+
+def _mapped(c: Column, d: dict[str, str]) -> Column:
+    return F.coalesce(F.try_element_at(_map(d), c), c)
 
 
 def word_list(text: Column) -> Column:
