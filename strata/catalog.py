@@ -583,6 +583,26 @@ def _answers(s, d):
     return plan.answer(q, memory(s, d)).select("query_id", "question", "query_type", "path", "abstained", "score", "answer", "context_tokens")
 
 
+@query("answers_batch")
+def _answers_batch(s, d):
+    """A question for every entry of the reference list, answered by one job."""
+    q = _t(s, d, "canon_items").select(F.col("item_id").cast("string").alias("query_id"), F.concat(F.lit("Who knows "), F.col("canonical_name"), F.lit("?")).alias("question"))
+    return plan.answer(q, memory(s, d)).select("query_id", "path", "abstained", "score", "answer", "context_tokens")
+
+
+@query("intake_counters")
+def _intake(s, d):
+    """What every session of the tables adds to an empty memory."""
+    sessions = _t(s, d, "sessions").select("id", "user_id", "start_time", "session_number", "session_summary")
+    turns = _t(s, d, "turns").select("session_id", "turn_number", "timestamp", "speaker", "text")
+    return intake.intake(sessions, turns)[1].drop("tenant")
+
+
+@query("fact_titles", f"SELECT id, coalesce(predicate, '') || ': ' || coalesce(object, '') AS title FROM {_F}")
+def _titles(s, d):
+    return graph.node_titles(_facts(s, d), "Fact")
+
+
 @query("running_rates", f"SELECT event_id, round_even((coalesce(sum(CAST(success AS INTEGER)) OVER w, 0) + 1) / (count(*) OVER w + 2), 4) AS rate_before FROM ({_OUT.replace('SELECT CASE', 'SELECT event_id, CASE', 1)}) WINDOW w AS (PARTITION BY query_type, path ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def _running(s, d):
     return routing.running_rates(_outcomes(s, d), F.col("event_id")).select("event_id", "rate_before")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,18 +34,27 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "strata
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
-    The cluster names that folder; only where it is unset (tests, a laptop) a
-    temporary one is chosen, because a local master has a single machine.
+    The cluster names that folder; only where it is unset and everything runs in
+    this process (tests, a laptop) a temporary one is used, and deleted at the end.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="strata-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+    root = spark.conf.get(CHECKPOINT_KEY, None) or _own_root(spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@cache
+def _temporary() -> str:
+    path = tempfile.mkdtemp(prefix="strata-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
+def _own_root(spark: SparkSession) -> str:
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
+    return _temporary()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -60,35 +60,105 @@ def read_dialogues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return turns, qa
 
 
+_RECORD = "struct<question_id: string, id: string, question: string, question_type: string, category: string, answer: string, answer_keywords: array<string>, forbidden_keywords: array<string>, should_abstain: boolean, expected_resolution: map<string, string>, sessions: array<variant>, haystack_sessions: array<variant>, haystack_dates: array<string>>"
+
+
+def read_samples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(samples, turns) of question records of either form, told apart by their shape: parallel arrays of sessions, dates
+    and ids, or fields with fallbacks (id, question, category, answer or answer_keywords, sessions of turns).
+
+    samples: sample_id, question, category, should_abstain, answer_keywords, forbidden_keywords, evidence_texts,
+    expected_resolution; turns: sample_id, session_pos, turn_pos, speaker, text, stamp.
+    """
+    v = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    listed = F.coalesce(F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
+    r = v.select(F.posexplode(listed).alias("n_", "r_")).select("n_", "r_", F.try_variant_get("r_", "$", _RECORD).alias("r"))
+    r = r.select("n_", "r.*", F.try_variant_get("r_", "$.answer", "string").alias("said_"))
+    text = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs])
+    sid = F.coalesce(text("question_id", "id"), F.col("n_").cast("string"))
+    # parallel arrays: the sessions are lists themselves
+    parallel = F.coalesce(F.schema_of_variant(F.get("haystack_sessions", F.lit(0))).startswith("ARRAY"), F.lit(False))
+    r = r.withColumn("sample_id", sid).withColumn("parallel_", parallel).withColumn("sessions_", F.coalesce(F.when(F.size("haystack_sessions") > 0, F.col("haystack_sessions")), "sessions", F.array().cast("array<variant>")))
+    s = r.select("sample_id", "parallel_", "haystack_dates", F.posexplode("sessions_").alias("session_pos", "s_"))
+    inner = F.coalesce(F.try_variant_get("s_", "$.turns", "array<variant>"), F.try_variant_get("s_", "$", "array<variant>"))
+    stamp = F.coalesce(F.get("haystack_dates", F.col("session_pos")), F.try_variant_get("s_", "$.timestamp", "string"), F.try_variant_get("s_", "$.start_time", "string"))
+    t = s.select("sample_id", "session_pos", stamp.alias("stamp"), F.posexplode(inner).alias("turn_pos", "t_"))
+    get = lambda p, kind="string": F.try_variant_get("t_", p, kind)
+    bare = F.when(F.schema_of_variant("t_") == "STRING", get("$"))
+    t = t.select("sample_id", "session_pos", "turn_pos", "stamp", F.lower(F.coalesce(get("$.speaker"), get("$.role"), F.lit("user"))).alias("speaker"), F.coalesce(bare, get("$.text"), get("$.content")).alias("text"), F.coalesce(get("$.has_answer", "boolean"), F.lit(False)).alias("is_evidence"))
+    t = t.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    proof = t.where("is_evidence").groupBy("sample_id").agg(F.collect_list("text").alias("evidence_texts"))
+    none = F.array().cast("array<string>")
+    words = F.transform(F.coalesce("answer_keywords", F.when(text("said_").isNotNull(), F.array("said_")), none), F.lower)
+    kind = F.coalesce(text("question_type", "category"), F.lit("unknown"))
+    no = F.coalesce("should_abstain", F.lit(False)) | F.endswith("sample_id", F.lit("_abs")) | F.startswith(kind, F.lit("abstention"))
+    samples = r.select("sample_id", F.coalesce("question", F.lit("")).alias("question"), kind.alias("category"), no.alias("should_abstain"), words.alias("answer_keywords"), F.transform(F.coalesce("forbidden_keywords", none), F.lower).alias("forbidden_keywords"), "expected_resolution")
+    samples = samples.join(proof, "sample_id", "left").withColumn("evidence_texts", F.coalesce("evidence_texts", none))
+    return samples, t.drop("is_evidence")
+
+
+def load_dataset(spark: SparkSession, path: str | None = None, count: int = 50) -> tuple[DataFrame, DataFrame, str]:
+    """(samples, turns, source): the records at ``path`` if there are any, else generated ones; source says which."""
+    if path is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return *read_samples(spark, path), path
+    return *samples_of(synthetic(spark, count)), "synthetic"
+
+
+def samples_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(samples, turns) of :func:`synthetic` rows."""
+    none = F.array().cast("array<string>")
+    samples = rows.groupBy("sample_id").agg(*[F.first(c).alias(c) for c in ("question", "category", "should_abstain", "answer", "forbidden")], F.collect_list(F.when(F.col("is_evidence"), F.col("text"))).alias("evidence_texts"))
+    samples = samples.select("sample_id", "question", "category", "should_abstain", F.when(F.col("answer") != "", F.array(F.lower("answer"))).otherwise(none).alias("answer_keywords"), F.when(F.col("forbidden") != "", F.array(F.lower("forbidden"))).otherwise(none).alias("forbidden_keywords"), F.when(F.col("should_abstain"), none).otherwise(F.col("evidence_texts")).alias("evidence_texts"))
+    at = F.timestamp_micros(F.lit(1735725600000000) + F.col("session_pos").cast("bigint") * 86_400_000_000)
+    return samples, rows.select("sample_id", "session_pos", "turn_pos", "speaker", "text", at.alias("at"))
+
+
 def synthetic(spark: SparkSession, count: int = 50, sessions: int = 30, seed: int = 7) -> DataFrame:
-    """Small generated question set (driver side, a regression signal): sample_id, category, question,
-    answer, should_abstain, session_pos, turn_pos, speaker, text."""
+    """Small generated question set (driver side, a regression signal), five categories in turn: sample_id, category,
+    question, answer, forbidden, should_abstain, session_pos, turn_pos, speaker, text, is_evidence. What a question asks
+    for lies in one or two of the sessions, a third of the samples has a statement that misleads, the rest is filler."""
     rng = random.Random(seed)
-    cities, tools = ["Berlin", "Lagos", "Tokyo", "Lisbon"], ["Python", "Rust", "Kotlin", "Zig"]
-    kinds = ["single", "update", "preference", "temporal", "unanswerable"]
-    rows = []
+    values = {"city": ["Berlin", "Lagos", "Tokyo", "Lisbon", "Nairobi", "Dublin", "Boston", "Seattle"], "tool": ["Python", "Rust", "Kotlin", "Go", "Scala", "Ruby"], "drink": ["coffee", "green tea", "juice", "espresso"], "sport": ["chess", "climbing", "yoga", "tennis"]}
+    forms = {"city": [["I live in {}.", "I'm based in {}."], ["I moved to {}.", "I relocated to {}."]], "tool": [["I prefer {} for data work.", "I favor {} for scripts."], ["I switched to {} for data work."]], "drink": [["My favorite beverage is {}."], ["My favorite beverage is {} now."]], "sport": [["I enjoy {}.", "I love {}."], ["I started learning {}."]]}
+    asks = {"single": {"city": "Where do I live?", "drink": "What is my favorite beverage?", "sport": "Which sport do I enjoy?"}, "update": {"city": "Where do I live now?", "drink": "What is my favorite beverage now?"}, "preference": {"tool": "Which language do I prefer?"}, "temporal": {"city": "Where did I live before {}?"}, "unanswerable": {"": "What is my blood type?"}}
+    fillers = ["Note {}: the meeting moved by {} minutes.", "The build took {} seconds and {} steps.", "Ticket {} has {} comments.", "Chapter {} has {} pages.", "Room {} was booked for {} people."]
+    kinds, rows = list(asks), []
     for i in range(count):
         kind = kinds[i % len(kinds)]
-        a, b = rng.sample(cities, 2)
-        t = rng.choice(tools)
-        q, ans, told = {
-            "single": ("Where do I live?", a, [f"I live in {a}."]),
-            "update": ("Where do I live?", b, [f"I live in {a}.", f"I moved to {b}."]),
-            "preference": ("Which language do I prefer?", t, [f"I prefer {t}."]),
-            "temporal": ("Where did I live before?", a, [f"I live in {a}.", f"I moved to {b}."]),
-            "unanswerable": ("What is my blood type?", "", [f"I live in {a}."]),
-        }[kind]
-        slots = sorted(rng.sample(range(sessions), len(told)))
+        topic = rng.choice(list(asks[kind]))
+        about = topic or "city"
+        a, b, c = rng.sample(values[about], 3)
+        first, second = rng.choice(forms[about][0]).format(a), rng.choice(forms[about][1]).format(b)
+        told = {"single": [first], "update": [first, second], "preference": [first], "temporal": [first, second], "unanswerable": [first]}[kind]
+        answer = {"single": a, "update": b, "preference": a, "temporal": a, "unanswerable": ""}[kind]
+        question = asks[kind][topic].format(b)
+        slots = sorted(rng.sample(range(sessions), len(told) + 1))
+        misled = rng.random() < 0.35
+        says = dict(zip(slots, told, strict=False)) | ({slots[-1]: f"A friend of mine talked about {c} all day."} if misled else {})
+        head = (f"q{i}", kind, question, answer, c if misled else "", kind == "unanswerable")
         for s in range(sessions):
-            text = told[slots.index(s)] if s in slots else f"Note {s}: the meeting moved by {rng.randint(5, 55)} minutes."
-            rows += [(f"q{i}", kind, q, ans, kind == "unanswerable", s, 0, "user", text), (f"q{i}", kind, q, ans, kind == "unanswerable", s, 1, "assistant", "Noted.")]
-    return spark.createDataFrame(rows, "sample_id string, category string, question string, answer string, should_abstain boolean, session_pos int, turn_pos int, speaker string, text string")
+            lines = [(says[s], s in slots[:-1])] if s in says else []
+            lines += [(rng.choice(fillers).format(rng.randint(5, 55), rng.randint(2, 40)), False) for _ in range(rng.randint(3, 6))]
+            rng.shuffle(lines)
+            for n, (text, proof) in enumerate(lines):
+                rows += [(*head, s, 2 * n, "user", text, proof), (*head, s, 2 * n + 1, "assistant", "Noted.", False)]
+    return spark.createDataFrame(rows, "sample_id string, category string, question string, answer string, forbidden string, should_abstain boolean, session_pos int, turn_pos int, speaker string, text string, is_evidence boolean")
 
 
 def write_report(report: dict, path: str) -> None:
     """A report as readable JSON."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, indent=2, ensure_ascii=False, default=str)
+    text = json.dumps(report, indent=2, ensure_ascii=False, default=str)
+    if "://" not in path:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    spark = SparkSession.active()
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
 
 
 def empty_sessions(spark: SparkSession) -> DataFrame:

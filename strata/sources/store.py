@@ -77,26 +77,47 @@ class Versions:
 
 
 class GraphStore:
-    """Named tables (one per label or edge set) under one version pointer."""
+    """Named tables (one per label or edge set) under one version pointer.
+
+    A version is a small manifest of the folders each table consists of. A commit writes what changed and names all
+    other folders as they are, so it costs what it changes; an appended batch is one more folder of its table.
+    """
+
+    MANIFEST = "name string, path string"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.versions = spark, Versions(spark, path)
 
-    def tables(self) -> list[str]:
+    def manifest(self) -> dict[str, list[str]]:
         if not self.versions.exists():
-            return []
-        v = self.versions
-        return sorted(s.getPath().getName() for s in v._fs.listStatus(v._p(v.current())))
+            return {}
+        parts: dict[str, list[str]] = {}
+        for r in self.spark.read.schema(self.MANIFEST).parquet(f"{self.versions.current()}/manifest").collect():
+            parts.setdefault(r.name, []).append(r.path)
+        return parts
+
+    def tables(self) -> list[str]:
+        return sorted(self.manifest())
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.versions.current()}/{name}")
+        return self.spark.read.parquet(*self.manifest()[name])
 
-    def commit(self, changed: dict[str, DataFrame]) -> None:
-        """All changed tables become visible together; the others are carried over by rename-free copy of files."""
-        old = {n: self.read(n) for n in self.tables() if n not in changed}
+    def commit(self, changed: dict[str, DataFrame] | None = None, appended: dict[str, DataFrame] | None = None) -> None:
+        """All changed (replaced) and appended tables become visible together; the others stay what they are."""
+        parts = self.manifest()
         with self.versions.next() as folder:
-            for name, df in {**old, **changed}.items():
+            for name, df in (changed or {}).items():
                 df.write.parquet(f"{folder}/{name}")
+                parts[name] = [f"{folder}/{name}"]
+            for name, df in (appended or {}).items():
+                df.write.parquet(f"{folder}/{name}-more")
+                parts[name] = [*parts.get(name, []), f"{folder}/{name}-more"]
+            rows = [(n, p) for n, paths in sorted(parts.items()) for p in paths]
+            self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.parquet(f"{folder}/manifest")
+
+    def verify(self) -> bool:
+        """True if every table of the current version can be read."""
+        return all(self.read(n).limit(1).count() >= 0 for n in self.tables())
 
     def reset(self) -> None:
         self.versions.reset()

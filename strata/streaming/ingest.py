@@ -28,7 +28,7 @@ def into_store(store: GraphStore, table: str) -> Callable[[DataFrame, int], None
     def sink(batch: DataFrame, _: int) -> None:
         if table in store.tables():
             old = store.read(table)
-            store.commit({table: old.unionByName(new_sessions(old, batch).select(old.columns))})
+            store.commit(appended={table: new_sessions(old, batch).select(old.columns)})
         else:
             store.commit({table: batch.dropDuplicates(["id"])})
 
