@@ -69,5 +69,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     times is computed once, and the loss of an executor doesn't reach behind it."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    _delete_at_exit(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_CUTS: list[tuple[SparkSession, str]] = []
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Results read from a cut are lazy, so its folder stays while the driver runs and goes when it ends."""
+    if not _CUTS:
+        atexit.register(delete_cuts)
+    _CUTS.append((spark, path))
+
+
+def delete_cuts() -> None:
+    """Deletes the folders of all cuts made so far; a long-lived driver calls it between its jobs."""
+    while _CUTS:
+        spark, path = _CUTS.pop()
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001 - the session may have ended; what is left is only space
+            continue
