@@ -49,7 +49,7 @@ LATENESS, UNORDERED = "1 day", "36500 days"
 BLOCK = 1024
 _FIRST, _LAST, _PUNCTUATION = datetime(1970, 1, 1), datetime(2069, 1, 1), datetime(2200, 1, 1)
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("id", T.StringType()), ("session_id", T.StringType()), ("turn_number", T.IntegerType()), ("timestamp", T.TimestampType()), ("speaker", T.StringType()), ("text", T.StringType()))])
-EMITTED = "session_id string, block int, closed_at timestamp, fault string, entries array<struct<number: int, id: string, role: string, low: bigint, high: bigint>>"
+EMITTED = "session_id string, block int, closed_at timestamp, fault string, entries array<struct<number: int, id: string, role: string, print: bigint>>"
 # fixed values: accepted speakers
 ROLES = {"user": "user", "human": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant", "system": "system"}
 
@@ -82,25 +82,24 @@ def conversing(happened: DataFrame, lateness: str = LATENESS, timeout: str = TIM
     turns = happened.groupBy("session_id", "turn_number", F.window("event_time", RESENT).alias("sent")).agg(
         F.min("id").alias("id"), F.min("role").alias("role"), F.min("print").alias("low"), F.max("print").alias("high"), (F.count("role") == F.count(F.lit(1))).alias("whole")
     )
-    entry = F.struct(F.col("turn_number").alias("number"), "id", F.when(F.col("whole"), F.col("role")).alias("role"), "low", "high")
+    entry = F.struct(F.col("turn_number").alias("number"), "id", F.when(F.col("whole"), F.col("role")).alias("role"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("print"))
     block = F.coalesce(F.floor(F.col("turn_number") / BLOCK), F.lit(-1)).cast("int")
     held = turns.select("session_id", block.alias("block"), F.window_time("sent").alias("event_time"), entry.alias("entry"))
     closed = held.groupBy("session_id", "block", F.session_window("event_time", timeout).alias("open")).agg(F.collect_list("entry").alias("entries"))
-    entries = F.array_sort("entries")
-    return closed.select("session_id", "block", F.col("open.end").alias("closed_at"), judged(entries)["fault"].alias("fault"), entries.alias("entries"))
+    closed = closed.select("session_id", "block", F.col("open.end").alias("closed_at"), F.sort_array("entries").alias("entries"))
+    return closed.select("session_id", "block", "closed_at", judged(F.col("entries"))["fault"].alias("fault"), "entries")
 
 
 def judged(entries: Column) -> Column:
-    """What there is to say of turns in order: struct(fault, n, users, lo, hi, first, last). ``fault`` names what is
+    """What there is to say of sorted turns: struct(fault, n, users, lo, hi, first, last). ``fault`` names what is
     broken within them (number, twice, role, gap, unanswered) or is null; ends are left to the whole session."""
-    e = F.array_sort(entries)
-    n = F.size(e)
+    e, n = entries, F.size(entries)
     at = lambda i: F.get(e, i)
     pairs = F.zip_with(F.slice(e, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(e, 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     same = lambda p: p["a"]["number"] == p["b"]["number"]
     fault = (
         F.when(F.exists(e, lambda x: x["number"].isNull()), "number")
-        .when(F.exists(e, lambda x: x["low"] != x["high"]) | F.exists(pairs, lambda p: same(p) & (p["a"]["low"] != p["b"]["low"])), "twice")
+        .when(F.exists(e, lambda x: x["print"].isNull()) | F.exists(pairs, lambda p: same(p) & (p["a"]["print"] != p["b"]["print"])), "twice")
         .when(F.exists(e, lambda x: x["role"].isNull()), "role")
         .when(F.exists(pairs, lambda p: p["b"]["number"] - p["a"]["number"] > 1), "gap")
         .when(F.exists(pairs, lambda p: ~same(p) & (p["a"]["role"] == "user") & (p["b"]["role"] != "assistant")), "unanswered")
@@ -185,7 +184,9 @@ def sound_turns(blocks: DataFrame) -> DataFrame:
     Rows of one block (it went on after its timeout) are put together first; their number is that of the
     timeouts, not of the turns. Blocks of a session meet through one summary row each.
     """
-    whole = blocks.groupBy("session_id", "block").agg(F.flatten(F.collect_list("entries")).alias("entries"))
+    whole = blocks.groupBy("session_id", "block").agg(F.collect_list("entries").alias("rows"))
+    # sorted once; a row alone is sorted already
+    whole = whole.select("session_id", "block", F.when(F.size("rows") == 1, F.get("rows", F.lit(0))).otherwise(F.sort_array(F.flatten("rows"))).alias("entries"))
     whole = whole.select("session_id", "block", "entries", judged(F.col("entries")).alias("j"))
     seam = F.lead("j.first").over(Window.partitionBy("session_id").orderBy("block"))
     ends = whole.select("session_id", "block", "j.*", F.coalesce(seam, F.lit("")).alias("follows"))
@@ -196,9 +197,10 @@ def sound_turns(blocks: DataFrame) -> DataFrame:
         .where("not fault and users and lo in (0, 1) and hi - lo + 1 = n")
     )
     # copies far apart in time are one turn still, known by the smaller id; sorted entries put that one first
-    e = F.array_sort("entries")
+    e = F.col("entries")
     first = F.filter(e, lambda x, i: (i == 0) | (F.get(e, i - 1)["number"] != x["number"]))
-    turns = whole.where("j.fault is null").select("session_id", first.alias("entries")).join(sound.select("session_id", "lo"), "session_id")
+    kept = F.transform(first, lambda x: F.struct(x["number"].alias("number"), x["id"].alias("id"), x["role"].alias("role")))
+    turns = whole.where("j.fault is null").select("session_id", kept.alias("entries")).join(sound.select("session_id", "lo"), "session_id")
     out = turns.select("session_id", "lo", F.explode("entries").alias("e"))
     return out.select("session_id", (F.col("e.number") - F.col("lo")).cast("int").alias("pos"), F.col("e.id").alias("turn_id"), F.col("e.role").alias("speaker_role"))
 
