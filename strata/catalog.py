@@ -434,7 +434,11 @@ def _prefix(s, d):
     return budget.prefix(u, ["session_id"], [F.col("timestamp").asc(), F.col("id").asc()], "cost", 60).select("session_id", "id", "used")
 
 
-@query("greedy_fill")
+@query("greedy_fill", f"""WITH RECURSIVE r AS (SELECT session_id, id, CASE WHEN text = '' THEN 0 ELSE greatest(length(text) // 4, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) END AS cost,
+  row_number() OVER (PARTITION BY session_id ORDER BY timestamp NULLS FIRST, id) AS n FROM {_U} WHERE text IS NOT NULL AND session_id IS NOT NULL),
+f AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST([] AS VARCHAR[]) AS kept FROM (SELECT DISTINCT session_id FROM r)
+  UNION ALL SELECT f.session_id, r.n, CASE WHEN used + cost <= 60 THEN used + cost ELSE used END, CASE WHEN used + cost <= 60 THEN list_append(kept, r.id) ELSE kept END FROM f JOIN r ON r.session_id = f.session_id AND r.n = f.n + 1)
+SELECT session_id AS sample_id, arg_max(kept, n) AS kept FROM f GROUP BY session_id""")
 def _greedy(s, d):
     u = _utterances(s, d).where("text is not null and session_id is not null")
     ranked = u.select(F.col("session_id").alias("sample_id"), F.struct("timestamp", "id").alias("rank"), F.col("id").alias("pos"), lexical.estimated_tokens(F.col("text")).alias("cost"))
