@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions import lexical
+from strata.functions.text import spaced_key
 from strata.operators import budget, facts, graph, predicates as p, routing, search
 from strata.operators.extraction import extract
 from strata.operators.timestamps import human_date, to_iso
@@ -412,7 +413,7 @@ def _supersession(s, d):
 @query("entity_upserts", """WITH e AS (SELECT DISTINCT ON (id) * FROM entities), k AS (SELECT *, lower(trim(regexp_replace(name, '\\s+', ' ', 'g'))) AS key FROM e WHERE name IS NOT NULL)
 SELECT key, count(*) AS mentions, min(first_seen) AS first_seen, max(last_seen) AS last_seen, arg_min(entity_type, (first_seen, id)) FILTER (entity_type IS NOT NULL) AS entity_type, arg_min(name, (first_seen, id)) AS name FROM k GROUP BY 1""")
 def _entities(s, d):
-    e = graph.node_table(s, d, "Entity").where("name is not null").withColumn("key", F.lower(F.trim(F.regexp_replace("name", r"\s+", " "))))
+    e = graph.node_table(s, d, "Entity").where("name is not null").withColumn("key", spaced_key(F.col("name")))
     return intake.entity_upserts(e, ["key"])
 
 

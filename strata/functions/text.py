@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: white space in the widest sense, controls and invisible format characters
 BLANK_CLASS = r"[\s\p{Z}\p{Cc}\p{Cf}⠀ㅤᅟᅠ]"
 _VISIBLE = "[^" + BLANK_CLASS[1:]
+#: the separators that SQL's trim takes off (category Zs)
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 _FOLD_RANGES = ((0x00C0, 0x0250), (0x1E00, 0x1F00), (0xFF01, 0xFF5F))
 #: letters without a decomposition that are one letter in plain ASCII
 _FOLD_EXTRA = {"ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ł": "l", "Ł": "L", "ħ": "h", "ı": "i", "ŧ": "t"}
@@ -63,6 +65,13 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))
 
 
+def spaced_key(c: Column) -> Column:
+    """SQL's ``lower(trim(regexp_replace(c, '\\s+', ' ', 'g')))``: runs of ASCII white space (no vertical tab) become one
+    space, spaces of every kind go at both ends, and each letter is lowered by itself (no final sigma, a dotted I is i)."""
+    one = F.trim(F.regexp_replace(c, r"[\t\n\f\r ]+", " "), F.lit(SPACES))
+    return F.lower(F.translate(one, "\u0130\u03a3", "i\u03c3"))
+
+
 def visible(c: Column) -> Column:
     """True if the text has a visible character; false for null."""
     return F.coalesce(c.rlike(_VISIBLE), F.lit(False))

@@ -78,10 +78,11 @@ def token_totals(turns: DataFrame, by: list[str]) -> DataFrame:
     return turns.groupBy(*by).agg(F.count(F.lit(1)).alias("turns"), F.sum("token_count").alias("tokens"))
 
 
-def entity_upserts(mentions: DataFrame, by: list[str]) -> DataFrame:
+def entity_upserts(mentions: DataFrame, by: list[str], nulls_first: bool = False) -> DataFrame:
     """(by, mentions, first_seen, last_seen, entity_type, name) of entity rows: counted, with the first type and name
-    there is; a row without a type counts too."""
-    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("first_seen", "id", c))).getField(c).alias(c)
+    there is, by first_seen and id, a null of which is the last (or the first); a row without a type counts too."""
+    order = ["first_seen", "id"] if nulls_first else [F.isnull("first_seen"), "first_seen", F.isnull("id"), "id"]
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct(*order, c))).getField(c).alias(c)
     return mentions.groupBy(*by).agg(F.count(F.lit(1)).alias("mentions"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), first("entity_type"), first("name"))
 
 
@@ -168,7 +169,8 @@ def intake(sessions: DataFrame, turns: DataFrame, state: State | None = None, ex
     named = found.where("kind = 'entity'").select("tenant", "turn_id", "canonical_name", "entity_type", F.col("evidence").alias("name"), F.col("timestamp").alias("first_seen"), F.col("timestamp").alias("last_seen"), F.concat_ws("/", "turn_id", F.lpad(F.col("seq").cast("string"), 20, "0")).alias("id"))
     named = named.unionByName(state.entities.select("tenant", F.lit(None).cast("string").alias("turn_id"), "canonical_name", "entity_type", "name", "first_seen", "last_seen", F.lit("").alias("id")))
     known = state.entities.select("tenant", "canonical_name", F.col("mention_count").alias("before"))
-    e = entity_upserts(named, ["tenant", "canonical_name"]).join(known, ["tenant", "canonical_name"], "left")
+    # a null time is that of a session without a start, which counts as 1970
+    e = entity_upserts(named, ["tenant", "canonical_name"], nulls_first=True).join(known, ["tenant", "canonical_name"], "left")
     # a known entity is one of the rows itself
     e = e.withColumn("mention_count", F.col("mentions") + F.coalesce(F.col("before") - 1, F.lit(0))).withColumn("id", hashed("ent", "tenant", "canonical_name"))
     e = cut(_with(e, SCHEMAS["entities"]), "entities")
